@@ -76,15 +76,10 @@ def joined_words(text: Column) -> Column:
 
 def shingles(words: Column, k: int) -> Column:
     """The distinct runs of k neighbouring words, as 64-bit hashes; empty where there are fewer words."""
-    return F.when(
-        F.size(words) >= k,
-        F.array_distinct(
-            F.transform(
-                F.sequence(F.lit(1), F.size(words) - F.lit(k - 1)),
-                lambda i: F.xxhash64(*[F.element_at(words, i + F.lit(j)) for j in range(k)]),
-            )
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
+    n = F.greatest(F.size(words) - (k - 1), F.lit(0))
+    # parallel slices, so that the words are split once for each and not once for each run
+    runs = F.arrays_zip(*[F.slice(words, j + 1, n).alias(f"w{j}") for j in range(k)])
+    return F.array_distinct(F.transform(runs, lambda z: F.xxhash64(*[z[f"w{j}"] for j in range(k)])))
 
 
 def norm_split(split: Column) -> Column:

@@ -57,7 +57,7 @@ def boilerplate_lines(
     solid = F.filter("keys", lambda x: x.isNotNull())
     n = F.size("solid")
     steps = lines.where("page IS NOT NULL").select("page", solid.alias("solid")).where(n > 1)
-    steps = steps.select("page", F.explode(F.array_distinct(F.arrays_zip(F.slice("solid", 1, n - 1).alias("a"), F.slice("solid", F.lit(2), n - 1).alias("b")))).alias("e")).select("page", "e.a", "e.b")
+    steps = steps.select("page", F.explode(F.arrays_zip(F.slice("solid", 1, n - 1).alias("a"), F.slice("solid", F.lit(2), n - 1).alias("b"))).alias("e")).select("page", "e.a", "e.b")
     steps = steps.where("a <> b").join(hot.withColumnRenamed("k", "a"), "a", "left_semi").join(hot.withColumnRenamed("k", "b"), "b", "left_semi")
     edges = steps.distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= support)
     labels, _ = components(edges.select("a", "b"))
@@ -70,6 +70,9 @@ def without_boilerplate(df: DataFrame, id_col: str = "record_id", text_col: str
     """df with text_col freed of its boilerplate lines; a text may become empty, a null text stays null."""
     lines = boilerplate_lines(df, id_col, text_col, **columns)
     # the lines of one record, so bounded by its text
-    per = lines.groupBy(F.col(id_col).alias("_id")).agg(F.collect_set("line_no").alias("_drop"))
-    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains(F.coalesce("_drop", F.array().cast("array<int>")), (i + 1).cast("int"))), "\n")
-    return df.join(per, df[id_col] == per["_id"], "left").withColumn(text_col, kept).drop("_id", "_drop")
+    per = lines.groupBy(F.col(id_col).alias("__record")).agg(F.collect_set("line_no").alias("__drop"))
+    drop = F.coalesce("__drop", F.array().cast("array<int>"))
+    numbered = F.transform(F.split(text_col, "\n"), lambda x, i: F.struct(x.alias("x"), (i + 1).cast("int").alias("i")))
+    kept = F.array_join(F.transform(F.filter(numbered, lambda p: ~F.array_contains(drop, p["i"])), lambda p: p["x"]), "\n")
+    text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(kept)
+    return df.join(per, df[id_col] == per["__record"], "left").withColumn(text_col, text).drop("__record", "__drop")
