@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from ..config import NEGATIONS, TOKEN
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends; Spark's trim takes blanks only."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -49,11 +54,13 @@ def replace_words(c: Column, mapping: Mapping[str, str]) -> Column:
     """Tokens that the dictionary has, in any case, become their form there; all else stays."""
     if not mapping:
         return c
-    tokens = F.regexp_extract_all(c, F.lit(f"({TOKEN})"), F.lit(1))
-    gaps = F.split(c, TOKEN, -1)
     lookup = map_literal(mapping)
-    new = F.transform(tokens, lambda t: F.coalesce(lookup[F.lower(t)], t))
-    return F.array_join(F.zip_with(gaps, new, lambda g, t: F.concat(g, F.coalesce(t, F.lit("")))), "")
+
+    def replaced(text: Column) -> Column:
+        new = F.transform(F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1)), lambda t: F.coalesce(lookup[F.lower(t)], t))
+        return F.array_join(F.zip_with(F.split(text, TOKEN, -1), new, lambda g, t: F.concat(g, F.coalesce(t, F.lit("")))), "")
+
+    return let(c, replaced)
 
 
 def clean_text(c: Column, slang: Mapping[str, str] | None = None, non_standard: Mapping[str, str] | None = None) -> Column:
@@ -108,7 +115,13 @@ def unique_segments(*segments: Column) -> Column:
 def drop_repeated_lines(c: Column) -> Column:
     """Non-empty lines, without those that equal the line before."""
     lines = F.filter(F.transform(F.split(c, "\n"), collapse), lambda x: x != "")
-    return F.array_join(F.filter(F.transform(lines, lambda x, i: F.when((i == 0) | (x != F.element_at(lines, F.greatest(i, F.lit(1)))), x)), lambda x: x.isNotNull()), "\n")
+
+    def kept(own: Column) -> Column:
+        before = F.concat(F.array(F.lit(None).cast("string")), own)
+        pairs = F.zip_with(own, F.slice(before, F.lit(1), F.size(own)), lambda x, y: F.when(~x.eqNullSafe(y), x))
+        return F.array_join(F.array_compact(pairs), "\n")
+
+    return let(lines, kept)
 
 
 def value_list(c: Column, sep: str = ",") -> Column:

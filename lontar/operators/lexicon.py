@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CLAUSE_WEIGHTS, LABELS, MAX_ABS, NEGATION_SHIFT, NEGATIVE_WEIGHT, NEUTRAL_CUTOFF, RULE_CONTRACT, TOKEN, WEAK_THRESHOLD
-from ..functions.text import tokens
+from ..functions.text import let, tokens
 from ..runtime import ship
 from ..schemas import RULE_COLUMNS
 
@@ -251,7 +251,10 @@ def _discounted(signed: float):
 def word_scores(text: Column, words: Mapping[str, tuple[str, float]], negative_weight: float = NEGATIVE_WEIGHT, max_abs: float = MAX_ABS, threshold: float = WEAK_THRESHOLD) -> Column:
     """struct(score, confidence, label, status, hits) by words alone, with repetition discount: the n-th occurrence of a
     word counts 1/n. Native expressions only. words: word to (label, weight)."""
-    t = tokens(F.coalesce(text, F.lit("")))
+    return let(tokens(F.coalesce(text, F.lit(""))), lambda t: _scored_words(t, words, negative_weight, max_abs, threshold))
+
+
+def _scored_words(t: Column, words: Mapping[str, tuple[str, float]], negative_weight: float, max_abs: float, threshold: float) -> Column:
     value = F.lit(0.0)
     hits = F.lit(0)
     for word, (label, weight) in words.items():
