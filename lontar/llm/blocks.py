@@ -138,12 +138,11 @@ def stop_word_density(words: list[str]) -> float:
 
 
 def link_density(text: str) -> float:
-    """Share of the line's words that stand in short pieces between separators, as menus have them."""
+    """Share of the pieces between separators that are as short as the links of menus and footers; 0 below three."""
     pieces = [p for p in _SEPARATORS.split(text) if p]
-    if len(pieces) < 2:
+    if len(pieces) < 3:
         return 0.0
-    counts = [len(p.split()) for p in pieces]
-    return sum(c for c in counts if c <= 4) / sum(counts)
+    return sum(len(p.split()) <= 6 for p in pieces) / len(pieces) if sum(len(p.split()) for p in pieces) <= 4.5 * len(pieces) else 0.0
 
 
 def first_pass(line: str) -> str:
@@ -155,7 +154,7 @@ def first_pass(line: str) -> str:
     if _FRAME_START.match(low):
         return LINKS if _LINK_HEADING.match(low) else FRAME
     if len(s) > 140:
-        return MAIN
+        return FRAME if len(s) < 1000 and link_density(s) >= 0.8 and not _SENTENCE_END.search(s) else MAIN
     if _LINK_HEADING.match(low):
         return LINKS
     if low in _LABELS:
@@ -164,7 +163,7 @@ def first_pass(line: str) -> str:
         return FRAME
     if len(s) < 90 and (_DATE_LINE.match(low) or _is_byline(s, low)):
         return FRAME
-    if link_density(s) >= 0.8 and len(_SEPARATORS.split(s)) >= 3:
+    if link_density(s) >= 0.8:
         return FRAME
     words = _WORD.findall(low)
     if not words:
@@ -219,7 +218,7 @@ def page_lines(lines: list[str], titles: tuple[str, ...] = (), cache: dict[str,
     top = _headline(lines, marks, out, rows, titles)
     _link_lists(lines, marks, out, rows)
     links = {i for i in rows if out[i] == FRAME and marks[i] == OPEN}
-    _neighbours(lines, out, rows, top)
+    _neighbours(lines, out, rows, top, links)
     return marks, [BLANK if m == BLANK else MAIN if m == MAIN else FRAME for m in out], links
 
 
@@ -268,12 +267,15 @@ def _link_lists(lines: list[str], marks: list[str], out: list[str], rows: list[i
             inside = False
 
 
-def _neighbours(lines: list[str], out: list[str], rows: list[int], top: int) -> None:
+def _neighbours(lines: list[str], out: list[str], rows: list[int], top: int, links: set[int]) -> None:
     """Undecided lines take the label of the nearest decided lines above and below; where those differ, one or two
-    words follow the frame, more the main body. Advertising and link lines inside the body don't count as decided, and
-    whatever stands above the headline is frame."""
+    words follow the frame, more the main body. Advertising, link lists and link lines stand inside the body too and so
+    don't count as decided; whatever stands above the headline is frame."""
     n = len(rows)
-    decided = [m if (m := out[i]) == MAIN else FRAME if m != OPEN and not _INTERRUPTS.match(strip_marks(lines[i]).casefold()) else None for i in rows]
+    decided: list[str | None] = []
+    for i in rows:
+        inside = out[i] in (OPEN, LINKS) or i in links or out[i] == FRAME and _INTERRUPTS.match(strip_marks(lines[i]).casefold())
+        decided.append(None if inside else out[i])
     back: list[str | None] = [None] * n
     ahead: list[str | None] = [None] * n
     last = None
