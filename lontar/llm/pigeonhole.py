@@ -3,7 +3,7 @@
 A record's fingerprint is its set of 64-bit shingle hashes. Two sets of Jaccard similarity t or more differ in few
 elements, so their `keep` rarest elements can't all differ: split into one-element blocks, close pairs share a block.
 Blocks are ordered from the rarest, which keeps them small where the data allow it; any order gives all pairs. Joined
-pairs are verified by Hamming distance twice: on a 128-bit parity sketch, whose distance never exceeds that of the
+pairs are verified by Hamming distance twice: on a 256-bit parity sketch, whose distance never exceeds that of the
 sets, and then on the sets themselves.
 """
 
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..runtime import ship
 from .shared import stored
 
+#: Words of 64 bits of the parity sketch: enough for sets of some hundred elements to differ visibly.
+SKETCH = 4
 #: Frequent elements that are sent to the executors with their counts: 16 bytes each. The rest counts as equally rare.
 FREQUENT = 200_000
 
@@ -47,12 +49,12 @@ def block_pairs(sets: DataFrame, permille: int, two_sided: bool = False, frequen
     id_type = sets.schema["id"].dataType.simpleString()
     sides = ["left", "right"] if two_sided else []
     rows = sets.select("id", "blocks", "items", "keep", *sides).mapInArrow(
-        _rarest(hot, two_sided), f"h long, id {id_type}, n int, f0 long, f1 long" + ", left boolean, right boolean" * two_sided
+        _rarest(hot, two_sided), f"h long, id {id_type}, n int, {', '.join(f'f{k} long' for k in range(SKETCH))}" + ", left boolean, right boolean" * two_sided
     )
     rows = stored(rows, "blocks")
     a, b = (rows.where("left"), rows.where("right")) if two_sided else (rows, rows)
     a, b = a.alias("a"), b.alias("b")
-    differ = F.bit_count(F.col("a.f0").bitwiseXOR(F.col("b.f0"))) + F.bit_count(F.col("a.f1").bitwiseXOR(F.col("b.f1")))
+    differ = sum((F.bit_count(F.col(f"a.f{k}").bitwiseXOR(F.col(f"b.f{k}"))) for k in range(SKETCH)), F.lit(0))
     joined = a.join(b, F.col("a.h") == F.col("b.h")).where(F.col("a.id") != F.col("b.id") if two_sided else F.col("a.id") < F.col("b.id"))
     return (
         joined.where(F.least("a.n", "b.n") * 1000 >= F.greatest("a.n", "b.n") * permille)
@@ -87,8 +89,8 @@ def _rarest(hot, two_sided: bool):
             chosen = rank < keep.to_numpy(zero_copy_only=False)[row]
             h, r = v[order][chosen], row[chosen]
             n_items, sketch = parity(items)
-            out = [pa.array(h), ids.take(pa.array(r)), pa.array(n_items[r].astype(np.int32)), pa.array(sketch[0][r]), pa.array(sketch[1][r])]
-            names = ["h", "id", "n", "f0", "f1"]
+            out = [pa.array(h), ids.take(pa.array(r)), pa.array(n_items[r].astype(np.int32)), *[pa.array(word[r]) for word in sketch]]
+            names = ["h", "id", "n", *[f"f{k}" for k in range(SKETCH)]]
             if two_sided:
                 out += [c.take(pa.array(r)) for c in batch.columns[4:6]]
                 names += ["left", "right"]
@@ -98,17 +100,17 @@ def _rarest(hot, two_sided: bool):
 
 
 def parity(items):
-    """Sizes of the sets, and 128 bits each: bit k tells whether an odd number of elements falls on k."""
+    """Sizes of the sets, and the words of their sketches: bit k tells whether an odd number of elements falls on k."""
     import numpy as np
 
     v = items.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
     length = items.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     start = np.concatenate(([0], np.cumsum(length)))
     bit = np.left_shift(np.uint64(1), v & np.uint64(63))
-    half = (v >> np.uint64(6)) & np.uint64(1)
+    word = (v >> np.uint64(6)) % np.uint64(SKETCH)
     out = []
-    for side in (0, 1):
-        run = np.concatenate(([np.uint64(0)], np.bitwise_xor.accumulate(np.where(half == side, bit, np.uint64(0))))) if len(v) else np.zeros(1, np.uint64)
+    for k in range(SKETCH):
+        run = np.concatenate(([np.uint64(0)], np.bitwise_xor.accumulate(np.where(word == k, bit, np.uint64(0))))) if len(v) else np.zeros(1, np.uint64)
         out.append((run[start[1:]] ^ run[start[:-1]]).view(np.int64))
     return length, out
 
