@@ -56,7 +56,7 @@ def bucket_sample(df: DataFrame, id_col: str, columns: Sequence[str], order: Seq
     return df.drop("labeling_bucket_column", "labeling_bucket_value").join(chosen, id_col)
 
 
-def group_folds(df: DataFrame, group: str, label: str, labels: Sequence, folds: int = FOLDS, seed: int = SEED, largest: int = 100_000) -> DataFrame:
+def group_folds(df: DataFrame, group: str, label: str, labels: Sequence, folds: int = FOLDS, seed: int = SEED, largest: int = 20_000) -> DataFrame:
     """group, fold: groups stay whole and labels spread evenly. Label counts of each group are aggregated; the `largest`
     groups are dealt greedily, where they hurt balance most, the others by the order of their hash within their label
     profile, so the driver holds a bounded number of groups."""
