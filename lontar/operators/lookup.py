@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.match import count_phrase
@@ -61,3 +61,11 @@ def term_counts(df: DataFrame, text: str, terms: Sequence[str], by: Sequence[str
     pairs = F.array(*[F.struct(F.lit(t).alias("keyword"), count_phrase(F.col(text), t).alias("n")) for t in terms])
     hits = df.select(*by, F.explode(F.filter(pairs, lambda p: p["n"] > 0)).alias("p")).select(*by, "p.*")
     return hits.groupBy(*by, "keyword").agg(F.sum("n").alias("frequency"), F.count(F.lit(1)).alias("document_frequency"))
+
+
+def location_scope(location: Column, specific: Sequence[str], provinces: Sequence[str]) -> Column:
+    """specific, province, empty or other, without regard to case and to the kind of area before a name."""
+    name = F.lower(place_name(F.coalesce(location, F.lit(""))))
+    return (
+        F.when(name == "", "empty").when(name.isin([x.lower() for x in specific]), "specific").when(name.isin([x.lower() for x in provinces]), "province").otherwise("other")
+    )

@@ -111,3 +111,9 @@ def read_list(path: str | Path) -> list[str]:
     if not isinstance(data, list):
         raise ValueError(f"{path}: not a JSON list")
     return list(dict.fromkeys(str(x).strip() for x in data if str(x).strip()))
+
+
+def training_history(path: str | Path) -> list[dict]:
+    """Numeric entries of a trainer's log, in their order."""
+    log = read_object(path, missing_ok=True).get("log_history", [])
+    return [{k: v for k, v in row.items() if isinstance(v, (int, float)) and not isinstance(v, bool)} for row in log if isinstance(row, dict)]

@@ -3,7 +3,9 @@ import json
 from pyspark.sql import functions as F
 
 from lontar.operators.curation import ResearchConfig, candidate_rows, flatten_records, one_per_url
-from lontar.plans import flagship, legacy, training
+from lontar.operators.curation import SourceRules
+from lontar.operators.lookup import location_scope
+from lontar.plans import candidates, flagship, legacy, training
 from lontar.sources import readers, sinks
 from lontar.streaming import scoring
 
@@ -94,3 +96,28 @@ def test_queries_have_matching_sql():
 
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q) and len(q) > 60
+
+
+def test_candidate_frames(spark, tmp_path):
+    rows = [(f"f{k % 2}.json", f"https://a.id/{k}", f"Berita {k}", "success", f"panel surya di desa sera nomor {k}. Warga senang sekali dengan lampu itu.") for k in range(6)]
+    rows += [("f0.json", "https://toko.id/1", "Jual", "success", "panel surya desa sera"), ("f0.json", "https://a.id/9", "x", "error", None)]
+    cols = "source_file string, canonical_url string, raw_title string, content_status string, content_text string"
+    records = spark.createDataFrame(rows, cols)
+    for c in ("url", "domain", "content_title", "snippet", "content_description", "query"):
+        records = records.withColumn(c, F.lit(None).cast("string"))
+    records = records.withColumn("content_text_length", F.length("content_text").cast("bigint"))
+    cfg = ResearchConfig(relevant=["panel"], places=[("sera", "Sera", True)])
+    out = candidates.candidate_frames(records, cfg, SourceRules(commercial_domains=["toko.id"]), per_bucket=3, sentences=True)
+    assert out["candidates"].count() == 8 and out["audit"].count() == 1 and out["ready"].count() == 6
+    assert out["sample"].count() == 6 and out["sample"].columns[-1] == "text" and out["sentences"].count() >= 6
+    assert {r["text_id"] for r in out["candidates"].collect()} == {f"RAW-000{k}" for k in range(1, 9)}
+
+
+def test_location_scope(spark):
+    df = spark.createDataFrame([("KABUPATEN Sera",), ("borneo",), (" ",), (None,), ("lain",)], "l string")
+    assert [r[0] for r in df.select(location_scope(F.col("l"), ["Sera"], ["Borneo"])).collect()] == ["specific", "province", "empty", "empty", "other"]
+
+
+def test_training_history(tmp_path):
+    (tmp_path / "s.json").write_text(json.dumps({"log_history": [{"epoch": 1, "loss": 0.5, "note": "x", "ok": True}]}))
+    assert readers.training_history(tmp_path / "s.json") == [{"epoch": 1, "loss": 0.5}] and readers.training_history(tmp_path / "no.json") == []
