@@ -239,15 +239,6 @@ def score_texts(df: DataFrame, text: str, rules: Rules | None = None, threshold:
     return df.withColumn("_rule", analyze(F.col(text))).select("*", "_rule.*").drop("_rule")
 
 
-def _equals(word: str):
-    return lambda x: F.when(x == word, x)
-
-
-def _discounted(signed: float):
-    """Adds the weight of the k-th occurrence."""
-    return lambda total, k: total + F.round(F.lit(signed) * F.round(1 / k, 4), 4)
-
-
 def word_scores(text: Column, words: Mapping[str, tuple[str, float]], negative_weight: float = NEGATIVE_WEIGHT, max_abs: float = MAX_ABS, threshold: float = WEAK_THRESHOLD) -> Column:
     """struct(score, confidence, label, status, hits) by words alone, with repetition discount: the n-th occurrence of a
     word counts 1/n. Native expressions only. words: word to (label, weight)."""
@@ -255,17 +246,23 @@ def word_scores(text: Column, words: Mapping[str, tuple[str, float]], negative_w
 
 
 def _scored_words(t: Column, words: Mapping[str, tuple[str, float]], negative_weight: float, max_abs: float, threshold: float) -> Column:
-    value = F.lit(0.0)
-    hits = F.lit(0)
-    for word, (label, weight) in words.items():
-        signed = weight if label == "positif" else -weight * negative_weight if label == "negatif" else 0.0
-        if not signed:
-            continue
-        n = F.size(F.array_compact(F.transform(t, _equals(word))))
-        steps = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-        value, hits = value + F.aggregate(steps, F.lit(0.0), _discounted(signed)), hits + n
-    score = F.round(value, 4)
-    confidence = F.round(F.least(F.abs(score) / max_abs, F.lit(1.0)), 4)
-    label = F.when(score > NEUTRAL_CUTOFF, "positif").when(score < -NEUTRAL_CUTOFF, "negatif").otherwise("netral")
-    status = F.when(hits == 0, "unknown").when(confidence < threshold, "weak").otherwise("detected")
-    return F.struct(score.alias("rule_score"), confidence.alias("rule_confidence"), label.alias("rule_label"), status.alias("rule_status"), hits.alias("rule_hits"))
+    signs = {"positif": 1.0, "negatif": -negative_weight}
+    signed = {w: signs[label] * weight for w, (label, weight) in words.items() if label in signs and weight}
+    names, values = F.lit(list(signed)), F.lit(list(signed.values()))
+    # lexicon words of the text, equal ones together: the k-th of a word counts 1 / k
+    hits = F.array_sort(F.filter(F.transform(t, lambda x: F.array_position(names, x).cast("int")), lambda k: k > 0))
+    start = F.struct(F.lit(0).alias("word"), F.lit(0).alias("k"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+
+    def add(acc: Column, word: Column) -> Column:
+        k = F.when(word == acc["word"], acc["k"] + 1).otherwise(1)
+        value = F.round(F.element_at(values, word) * F.round(1 / k, 4), 4)
+        return F.struct(word.alias("word"), k.alias("k"), (acc["sum"] + value).alias("sum"), (acc["n"] + 1).alias("n"))
+
+    def shown(total: Column) -> Column:
+        score = F.round(total["sum"], 4)
+        confidence = F.round(F.least(F.abs(score) / max_abs, F.lit(1.0)), 4)
+        label = F.when(score > NEUTRAL_CUTOFF, "positif").when(score < -NEUTRAL_CUTOFF, "negatif").otherwise("netral")
+        status = F.when(total["n"] == 0, "unknown").when(confidence < threshold, "weak").otherwise("detected")
+        return F.struct(score.alias("rule_score"), confidence.alias("rule_confidence"), label.alias("rule_label"), status.alias("rule_status"), total["n"].alias("rule_hits"))
+
+    return F.aggregate(hits, start, add, shown)
