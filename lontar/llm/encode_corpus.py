@@ -24,7 +24,7 @@ from ..runtime import ship
 
 TOKENIZERS = "/opt/tokenizers"
 # Fixed value: how the public vocabulary splits a text before its merges.
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters of a piece. Texts up to two pieces are encoded at once.
 PIECE = 100_000
 
