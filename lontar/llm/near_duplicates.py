@@ -46,14 +46,30 @@ def near_duplicates(df: DataFrame, id_col: str = "text_id", text_col: str = "tex
     return NearDuplicates(stored(links, "links"), stored(members, "members"))
 
 
-def expanded(result: NearDuplicates) -> DataFrame:
-    """All pairs a < b of records, copies of one wording included. Quadratic in the copies: for results that ask for it."""
-    m = result.members
-    across = result.links.join(m.toDF("x", "a"), "a").join(m.toDF("y", "b"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+#: Copies of one wording up to which pairs of all of them are listed.
+COPIES = 1000
+
+
+def thinned(members: DataFrame, by: list[str], copies: int) -> DataFrame:
+    """members with `few`: whether the record stands in pairs with all partners - every record of a wording with up to
+    `copies` records, of a larger one the first."""
+    n = members.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    return members.join(n, by).select("id", *by, ((F.col("n") <= copies) | (F.col("id") == F.col("first"))).alias("few"))
+
+
+def expanded(result: NearDuplicates, copies: int = COPIES) -> DataFrame:
+    """Pairs a < b of records. Wordings of up to `copies` records are expanded into all pairs; each record of a larger one
+    is paired with the first of its own and of each linked wording, so that every record that has a partner comes out
+    and the result stays linear in the copies; groups() has the whole membership."""
+    m = stored(thinned(result.members, ["rep"], copies), "members")
     twice = m.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rep")
-    copies = m.join(twice, "rep", "left_semi").select("id", "rep")
-    within = copies.toDF("a", "rep").join(copies.toDF("b", "rep"), "rep").where("a < b").select("a", "b")
-    return across.unionByName(within)
+    links = result.links.select("a", "b").unionByName(twice.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
+    x = m.select(F.col("id").alias("x"), F.col("rep").alias("a"), F.col("few").alias("few_x"))
+    y = m.select(F.col("id").alias("y"), F.col("rep").alias("b"), F.col("few").alias("few_y"))
+    most = links.join(x.where("few_x"), "a").join(y.where("few_y"), "b").select("x", "y")
+    # a large wording's first record is the least of its class: the representative itself
+    rest = links.join(x.where("NOT few_x"), "a").select("x", F.col("b").alias("y")).unionByName(links.join(y.where("NOT few_y"), "b").select(F.col("a").alias("x"), "y"))
+    return most.unionByName(rest).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def groups(result: NearDuplicates) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .near_duplicates import wordings
+from .near_duplicates import COPIES, thinned, wordings
 from .pigeonhole import block_pairs, verified
 from .shared import norm_split, shingles, stored
 
@@ -56,15 +56,23 @@ def split_overlap(
     return SplitOverlap(stored(links.unionByName(same), "links"), stored(members, "members"), classes.select("id", "text"))
 
 
-def record_pairs(result: SplitOverlap, train: tuple[str, ...] = ("train",)) -> DataFrame:
-    """All pairs of a training and a held-out record: train_id, held_id, split, source (of the held-out one), a, b."""
-    m = result.members.withColumn("is_train", F.col("split").isin(*train))
+def record_pairs(result: SplitOverlap, train: tuple[str, ...] = ("train",), copies: int = COPIES) -> DataFrame:
+    """Pairs of a training and a held-out record: train_id, held_id, a, b. As in near_duplicates.expanded(), wordings of
+    more than `copies` records on a side stand in all pairs by their first record there, and each other record of theirs
+    is paired with the first of the partner's."""
+    side = result.members.select("id", "rep", F.col("split").isin(*train).alias("is_train"))
+    m = stored(thinned(side, ["rep", "is_train"], copies), "members")
     both = result.links.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")).unionByName(
         result.links.where("a <> b").select("a", "b", F.col("b").alias("x"), F.col("a").alias("y"))
     )
-    t = m.where("is_train").select(F.col("rep").alias("x"), F.col("id").alias("train_id"))
-    h = m.where("NOT is_train").select(F.col("rep").alias("y"), F.col("id").alias("held_id"), "split", "source")
-    return both.join(t, "x").join(h, "y").select("train_id", "held_id", "split", "source", "a", "b")
+    t = m.where("is_train").select(F.col("rep").alias("x"), F.col("id").alias("train_id"), F.col("few").alias("few_t"))
+    h = m.where("NOT is_train").select(F.col("rep").alias("y"), F.col("id").alias("held_id"), F.col("few").alias("few_h"))
+    first_t, first_h = t.groupBy("x").agg(F.min("train_id").alias("train_id")), h.groupBy("y").agg(F.min("held_id").alias("held_id"))
+    columns = ["train_id", "held_id", "a", "b"]
+    most = both.join(t.where("few_t"), "x").join(h.where("few_h"), "y").select(*columns)
+    more_t = both.join(t.where("NOT few_t"), "x").join(first_h, "y").select(*columns)
+    more_h = both.join(h.where("NOT few_h"), "y").join(first_t, "x").select(*columns)
+    return most.unionByName(more_t).unionByName(more_h)
 
 
 def aligned(result: SplitOverlap) -> DataFrame:

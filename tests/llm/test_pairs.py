@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from lontar.llm.near_duplicates import expanded, groups, near_duplicates
 from lontar.llm.pigeonhole import parity
@@ -116,3 +117,17 @@ def test_parity_never_exceeds_the_distance():
         for j in range(40):
             bits = sum(bin((int(f[i]) ^ int(f[j])) & (2**64 - 1)).count("1") for f in sketch)
             assert bits <= len(set(sets[i]) ^ set(sets[j]))
+
+
+def test_many_copies_stay_linear(spark):
+    t, like = "satu dua tiga empat lima enam tujuh delapan sembilan sepuluh sebelas duabelas tigabelas empatbelas", "nol satu dua tiga empat lima enam tujuh delapan sembilan sepuluh sebelas duabelas tigabelas empatbelas"
+    rows = [(f"c{k:02}", t, "train" if k < 30 else "test") for k in range(40)] + [("z1", like, "test"), ("z2", like, "train")]
+    df = spark.createDataFrame(rows, "text_id string, text string, split string").withColumn("source_type", F.lit(None).cast("string"))
+    r = near_duplicates(df)
+    assert expanded(r).count() == 42 * 41 // 2
+    few = {tuple(x) for x in expanded(r, copies=5).collect()}
+    assert {x for p in few for x in p} == {i for i, _, _ in rows} and ("z1", "z2") in few and len(few) < 130
+    o = split_overlap(df, text_col="text")
+    assert record_pairs(o).count() == 31 * 11
+    held = {(x["train_id"], x["held_id"]) for x in record_pairs(o, copies=5).collect()}
+    assert {x for p in held for x in p} == {i for i, _, _ in rows} and ("z2", "z1") in held and len(held) < 90
