@@ -163,12 +163,12 @@ def first_pass(line: str) -> str:
         return FRAME
     if len(s) < 90 and (_DATE_LINE.match(low) or _is_byline(s, low)):
         return FRAME
-    if link_density(s) >= 0.8:
-        return FRAME
     words = _WORD.findall(low)
+    ends = bool(_SENTENCE_END.search(s))
+    if not ends and link_density(s) >= 0.8:
+        return FRAME
     if not words:
         return OPEN
-    ends = bool(_SENTENCE_END.search(s))
     if ends and len(words) >= 6 and (stop_word_density(words) >= 0.08 or len(words) >= 9):
         return MAIN
     if s[0] in "“\"'‘„«" and len(words) >= 4:
@@ -227,7 +227,7 @@ def _headline(lines: list[str], marks: list[str], out: list[str], rows: list[int
     undecided line of four words or more before the first paragraph."""
     if titles:
         for i in rows:
-            if marks[i] in (OPEN, MAIN) and squash(lines[i]) in titles:
+            if marks[i] != LINKS and squash(lines[i]) in titles:
                 out[i] = MAIN
                 return i
     best = -1
