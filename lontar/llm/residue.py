@@ -2,9 +2,9 @@
 
 Lines decide first: `line_kind` tells placeholders, filler and messages from sentences. A record is trusted residue if
 its body has an unfilled placeholder, or residue lines and no sentence. Wordings that the line rules don't know are
-found by likeness: short cores (the body without numbers and names) get a 64-bit SimHash of their five-word shingles,
-tables keyed by pairs of its eight byte blocks bring together what differs in few bits, pairs are verified by Hamming
-distance and by Jaccard similarity of the shingles, and a component that holds trusted residue is residue.
+found by likeness: cores (the body without numbers and names) are sets of five-word shingles, whose rarest elements
+bring together all pairs of Jaccard similarity 0.8 or more (pigeonhole.py), pairs are verified by Hamming distance on a
+sketch and by the similarity of the sets, and a component that holds trusted residue is residue.
 
 Cases: null or blank text is no case; records without an id keep their null id; repeated rows come out as often as
 they go in; an empty table gives an empty one.
@@ -14,16 +14,18 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
 from .components import components
-from .shared import forget, stored
+from .pigeonhole import block_pairs, prefix_length, verified
+from .shared import shingles, stored
 
 #: Bodies with more words than this hold content whatever they resemble; their placeholders still count.
 CORE_WORDS = 80
-SHINGLE, SIMILARITY, HAMMING = 5, 0.8, 12
+#: Words of a shingle, and the least Jaccard similarity of a link, in thousandths.
+SHINGLE, SIMILARITY = 5, 800
 
 # Forms of unfilled placeholders in common template languages. A single brace counts only with a filter.
 _PLACEHOLDER = re.compile(
@@ -111,54 +113,15 @@ def propagate(pages: DataFrame) -> DataFrame:
 
 
 def _near_cores(cores: DataFrame) -> DataFrame:
-    """Verified links a < b between the cores of SimHash tables."""
-    signed = cores.select("node", "core").mapInArrow(_sign, "node long, shingles array<long>, h long")
-    signed = stored(signed, "core-signs")
-    tables = signed.select(
-        "node", "h", F.size("shingles").alias("n"),
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(8 * i + j).alias("t"),
-                        (F.shiftrightunsigned("h", 8 * i).bitwiseAND(255) * 256 + F.shiftrightunsigned("h", 8 * j).bitwiseAND(255)).alias("v"),
-                    )
-                    for i in range(8)
-                    for j in range(i + 1, 8)
-                ]
-            )
-        ).alias("k"),
-    ).select("node", "h", "n", "k.t", "k.v")
-    a, b = tables.alias("a"), tables.alias("b")
-    near = (
-        a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.node") < F.col("b.node")))
-        .where(F.bit_count(F.col("a.h").bitwiseXOR(F.col("b.h"))) <= HAMMING)
-        .where(F.least("a.n", "b.n") >= SIMILARITY * F.greatest("a.n", "b.n"))
-        .select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-        .distinct()
-    )
-    s = signed.select("node", "shingles")
-    both = near.join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common >= SIMILARITY * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-
-
-def _sign(batches):
-    import numpy as np
-    import pyarrow as pa
-    import xxhash
-
-    bits = np.arange(64, dtype=np.uint64)
-    for batch in batches:
-        shingle_lists, hashes = [], []
-        for core in batch.column(1).to_pylist():
-            w = core.split()
-            runs = {" ".join(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))}
-            own = np.array(sorted(xxhash.xxh64_intdigest(r) for r in runs), dtype=np.uint64)
-            votes = ((own[:, None] >> bits) & np.uint64(1)).sum(axis=0)
-            hashes.append(int((np.left_shift(np.uint64(1), bits)[votes * 2 > len(own)]).sum(dtype=np.uint64).astype(np.int64)))
-            shingle_lists.append(own.astype(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shingle_lists, pa.list_(pa.int64())), pa.array(hashes, pa.int64())], names=["node", "shingles", "h"])
+    """All links a < b between cores of similarity SIMILARITY or more."""
+    sets = stored(cores.select(F.col("node").alias("id"), _core_shingles(F.split("core", " ")).alias("items")), "core-sets")
+    sets = sets.withColumn("blocks", F.col("items")).withColumn("keep", prefix_length(F.size("items"), SIMILARITY))
+    return verified(stored(block_pairs(sets, SIMILARITY), "core-pairs"), sets, SIMILARITY).select("a", "b")
+
+
+def _core_shingles(words: Column) -> Column:
+    """Distinct runs of SHINGLE words; a core of fewer words is one run."""
+    return F.when(F.size(words) >= SHINGLE, shingles(words, SHINGLE)).otherwise(F.array(F.xxhash64(words)))
 
 
 def residue_records(df: DataFrame, id_col: str = "record_id", text_col: str = "content_text", title_cols: tuple[str, ...] = ()) -> DataFrame:

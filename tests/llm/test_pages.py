@@ -1,8 +1,10 @@
+import random
+
 import pytest
 
 from lontar.llm import blocks as B
 from lontar.llm.main_body import frame_lines, main_bodies, page
-from lontar.llm.residue import line_kind, residue_records, without_residue
+from lontar.llm.residue import _near_cores, line_kind, residue_records, without_residue
 
 PAGE = """Beranda | Berita | Video | Cari
 Beranda > Energi > Panel Surya Menyala di Desa Sera
@@ -94,3 +96,26 @@ def test_frame_lines_and_bodies(spark):
     bodies = {r["record_id"]: r["main_text"] for r in main_bodies(df).collect()}
     assert bodies[3] is None and bodies[4] == "" and "Terang sekali" in bodies[1] and "Bagikan ke teman" not in bodies[1]
     assert frame_lines(records(spark, [])).count() == 0
+
+
+def test_likeness_reaches_the_record_at_the_threshold(spark):
+    known = "Terjadi kesalahan pada sistem kami sehingga isi berita belum dapat kami muat untuk anda pada saat ini silakan ulangi sebentar lagi ya"
+    like = known.replace("Terjadi kesalahan pada sistem kami", "Sebuah masalah pada sistem kami")
+    assert {r["record_id"] for r in residue_records(records(spark, [(1, known), (2, like + ".")])).collect()} == {1, 2}
+
+
+def test_links_of_cores_equal_brute_force(spark):
+    rng = random.Random(4)
+    cores = []
+    for k in range(300):
+        w = [f"k{rng.randrange(5000)}" for _ in range(rng.randrange(3, 80))]
+        cores.append(w)
+        for _ in range(2):
+            v = list(w)
+            for _ in range(rng.randrange(1, 3)):
+                v[rng.randrange(len(v))] = f"n{rng.randrange(5000)}"
+            cores.append(v)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in cores]
+    expected = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) * 10 >= 8 * len(sets[i] | sets[j])}
+    got = {(r["a"], r["b"]) for r in _near_cores(spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(cores)], "node bigint, core string")).collect()}
+    assert got == expected and len(expected) > 100
