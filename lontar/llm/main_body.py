@@ -18,12 +18,12 @@ from . import blocks as B
 from ..runtime import ship
 from . import residue as R
 
-PAGE = "frame_lines array<int>, trusted boolean, core string"
+PAGE = "frame_lines array<int>, trusted boolean, seed boolean, cores array<string>"
 
 
 def scan_pages(df: DataFrame, id_col: str, text_col: str, title_cols: tuple[str, ...] = (), body: bool = False) -> DataFrame:
     """For each row: id, frame_lines (numbers of the non-blank lines outside the main body, from 1), trusted (the record
-    is residue by its own lines), core (for problem 4's likeness, null for long bodies) and, with body, main_text."""
+    is residue by its own lines), seed and cores (for problem 4's likeness) and, with body, main_text."""
     ship(df.sparkSession)
     source = df.select(df[id_col].alias("id"), df[text_col].alias("text"), *[df[c].alias(f"title{k}") for k, c in enumerate(title_cols)])
     id_type = source.schema["id"].dataType.simpleString()
@@ -38,15 +38,16 @@ def _scanner(n_titles: int, body: bool):
         for batch in batches:
             texts = batch.column(1).to_pylist()
             titles = list(zip(*[batch.column(2 + k).to_pylist() for k in range(n_titles)], strict=True)) if n_titles else [()] * len(texts)
-            frames, trusted, cores, bodies = [], [], [], []
+            frames, trusted, seeds, cores, bodies = [], [], [], [], []
             for text, own in zip(texts, titles, strict=True):
-                f, t, c, m = page(text, own, cache, body)
+                f, t, (s, c), m = page(text, own, cache, body)
                 frames.append(f)
                 trusted.append(t)
+                seeds.append(s)
                 cores.append(c)
                 bodies.append(m)
-            arrays = [batch.column(0), pa.array(frames, pa.list_(pa.int32())), pa.array(trusted, pa.bool_()), pa.array(cores, pa.string())]
-            names = ["id", "frame_lines", "trusted", "core"]
+            arrays = [batch.column(0), pa.array(frames, pa.list_(pa.int32())), pa.array(trusted, pa.bool_()), pa.array(seeds, pa.bool_()), pa.array(cores, pa.list_(pa.string()))]
+            names = ["id", "frame_lines", "trusted", "seed", "cores"]
             if body:
                 arrays.append(pa.array(bodies, pa.string()))
                 names.append("main_text")
@@ -56,15 +57,15 @@ def _scanner(n_titles: int, body: bool):
 
 
 def page(text: str | None, titles: tuple[str | None, ...] = (), cache: dict[str, str] | None = None, body: bool = True):
-    """frame_lines, trusted, core, main_text of one text."""
+    """frame_lines, trusted, (seed, cores), main_text of one text."""
     if text is None:
-        return [], False, None, None
+        return [], False, (False, []), None
     lines = text.split("\n")
     heads = tuple(h for h in {B.squash(x) for t in titles if t for x in (t, t.rpartition(" - ")[0])} if len(h) > 3)
     marks, labels, links = B.page_lines(lines, heads, cache)
     frame = [k + 1 for k, x in enumerate(labels) if x == B.FRAME]
-    sentences = placeholders = residue = words = 0
-    core = []
+    sentences = placeholders = residue = filled = 0
+    core, whole = [], []
     for k, (line, mark) in enumerate(zip(lines, marks, strict=True)):
         if mark not in (B.MAIN, B.OPEN) or k in links:
             continue
@@ -74,12 +75,15 @@ def page(text: str | None, titles: tuple[str | None, ...] = (), cache: dict[str,
         sentences += kind == "sentence"
         placeholders += kind == "placeholder"
         residue += kind == "residue"
+        filled += kind == "placeholder" and mark == B.MAIN
+        words = R.line_words(line)
+        whole.append(words)
         if mark == B.MAIN or kind == "residue":
-            words += line.count(" ") + 1
-            core.append(line)
+            core.append(words)
     trusted = bool(placeholders or residue and not sentences)
     main = "\n".join(line for line, x in zip(lines, labels, strict=True) if x == B.MAIN) if body else None
-    return frame, trusted, R.core_of(core) if core and words <= R.CORE_WORDS else None, main
+    cores = sorted({R.core_of(x) for x in (core, whole)} - {""})
+    return frame, trusted, (trusted and not sentences and not filled, cores), main
 
 
 def main_bodies(df: DataFrame, id_col: str = "record_id", text_col: str = "content_text", title_cols: tuple[str, ...] = ()) -> DataFrame:

@@ -1,10 +1,12 @@
 """Problem 4: records that hold template residue, filler, an error message or a script notice and no content.
 
 Lines decide first: `line_kind` tells placeholders, filler and messages from sentences. A record is trusted residue if
-its body has an unfilled placeholder, or residue lines and no sentence. Wordings that the line rules don't know are
-found by likeness: cores (the body without numbers and names) are sets of five-word shingles, whose rarest elements
+its body has an unfilled placeholder, or residue lines and no sentence; a long line is read piece by piece. Wordings
+that the line rules don't know are found by likeness: each record has as cores all its lines outside the frame and its
+sentences and residue lines alone, both without numbers and names. Cores are sets of five-word shingles, whose rarest elements
 bring together all pairs of Jaccard similarity 0.8 or more (pigeonhole.py), pairs are verified by Hamming distance on a
-sketch and by the similarity of the sets, and a component that holds trusted residue is residue.
+sketch and by the similarity of the sets, and a component that holds a seed, a trusted record without any sentence, is
+residue. A sentence beside a placeholder may be an article's, whose filled copies are none.
 
 Cases: null or blank text is no case; records without an id keep their null id; repeated rows come out as often as
 they go in; an empty table gives an empty one.
@@ -14,16 +16,14 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
 from .components import components
 from .pigeonhole import block_pairs, prefix_length, verified
-from .shared import shingles, stored
+from .shared import stored
 
-#: Bodies with more words than this hold content whatever they resemble; their placeholders still count.
-CORE_WORDS = 80
 #: Words of a shingle, and the least Jaccard similarity of a link, in thousandths.
 SHINGLE, SIMILARITY = 5, 800
 
@@ -35,6 +35,9 @@ _PLACEHOLDER = re.compile(
     r"|\b[a-z]+(?:[_.][a-z]+)* DI SINI\b"
 )
 
+#: What every placeholder has one of.
+_OPENS = re.compile(r"[{\[<%@&]|__|DI SINI")
+
 # Words of the usual filler text.
 _LOREM = frozenset(
     """lorem ipsum dolor sit amet consectetur consectetuer adipiscing elit sed do eiusmod tempor incididunt ut labore et
@@ -68,6 +71,9 @@ _MESSAGE = re.compile(
     )""",
     re.X,
 )
+#: Characters up to which a line is one message by its beginning; longer ones are read piece by piece.
+LINE = 160
+_PIECE = re.compile(r"(?<=[.!?…])\s+|\s*[|»•·\t]\s*|\s{2,}")
 _DRAFT = re.compile(r"\s*\(\d+\)\s+draf\b.*$")
 _TOKEN = re.compile(r"[^\W_]+")
 
@@ -75,10 +81,10 @@ _TOKEN = re.compile(r"[^\W_]+")
 def line_kind(line: str, mark: str) -> str:
     """placeholder, residue, sentence or other, for a line outside the frame; mark: its pass-1 label."""
     s = B.strip_marks(line)
-    if _PLACEHOLDER.search(s) or _PLACEHOLDER.search(line):
+    if any(_OPENS.search(x) and _PLACEHOLDER.search(x) for x in (s, line)):
         return "placeholder"
-    low = _DRAFT.sub("", s).casefold()
-    if len(low) <= 160 and _MESSAGE.match(low):
+    low = (_DRAFT.sub("", s) if "draf" in s else s).casefold()
+    if _MESSAGE.match(low) if len(low) <= LINE else _only_messages(s):
         return "residue"
     tokens = _TOKEN.findall(low)
     if len(tokens) >= 5 and sum(t in _LOREM for t in tokens) >= 0.7 * len(tokens):
@@ -86,49 +92,96 @@ def line_kind(line: str, mark: str) -> str:
     return "sentence" if mark == B.MAIN else "other"
 
 
-def core_of(lines: list[str]) -> str:
-    """Lower-case words of the lines without numbers, codes and names (words with a capital inside a line)."""
-    words = []
-    for line in lines:
-        for k, token in enumerate(_TOKEN.findall(_DRAFT.sub("", B.strip_marks(line)))):
-            if not any(c.isdigit() for c in token) and (k == 0 or not token[0].isupper()):
-                words.append(token.lower())
-    return " ".join(words)
+def _only_messages(line: str) -> bool:
+    """Whether the pieces of a line have a message and no sentence."""
+    found = False
+    for piece in _PIECE.split(line):
+        s = B.strip_marks(piece)
+        low = s.casefold()
+        if s and (_MESSAGE.match(low) or _MESSAGE.match(low.rstrip(".!?…"))):
+            found = True
+        elif B.first_pass(piece) == B.MAIN:
+            return False
+    return found
+
+
+def line_words(line: str) -> tuple[list[str], list[str]]:
+    """The words of a line without numbers and codes; and of those the ones that are no names (capital inside a line)."""
+    s = B.strip_marks(line)
+    tokens = _TOKEN.findall(_DRAFT.sub("", s) if "draf" in s else s)
+    every = [t for t in tokens if t.isalpha() or not any(c.isdigit() for c in t)]
+    plain = [t for t in every if not t[0].isupper()]
+    return every, every[:1] + plain if every and every[0] is tokens[0] and every[0][0].isupper() else plain
+
+
+def core_of(lines: list[tuple[list[str], list[str]]]) -> str:
+    """Lower-case words of the lines of line_words(), without names unless that leaves less than a shingle."""
+    plain = [t for _, words in lines for t in words]
+    return " ".join(plain if len(plain) >= SHINGLE else [t for words, _ in lines for t in words]).lower()
 
 
 def propagate(pages: DataFrame) -> DataFrame:
-    """Ids of all residue records. pages: id, trusted (boolean), core (null where the body is too long to be residue)."""
+    """Ids of all residue records. pages: id, trusted, seed (boolean), cores (array of strings)."""
     known = pages.where("trusted").select("id")
-    cores = stored(
-        pages.where("core IS NOT NULL AND core <> ''").groupBy("core").agg(F.max(F.col("trusted")).alias("trusted")).withColumn("node", F.xxhash64("core")),
-        "cores",
-    )
+    each = pages.select("seed", F.explode("cores").alias("core"))
+    cores = stored(each.groupBy(F.xxhash64("core").alias("node")).agg(F.max("seed").alias("seed"), F.min("core").alias("core")), "cores")
     edges = stored(_near_cores(cores), "core-links")
     labels, _ = components(edges)
-    own = cores.select("node", "core", "trusted").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    bad_roots = own.groupBy("root").agg(F.max("trusted").alias("bad"), F.count(F.lit(1)).alias("n")).where("bad AND n > 1").select("root")
-    spread = own.where("NOT trusted").join(bad_roots, "root", "left_semi").select("core")
-    found = pages.where("NOT trusted AND core IS NOT NULL").join(spread, "core", "left_semi").select("id")
+    own = cores.select("node", "seed").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    bad = own.join(own.where("seed").select("root").distinct(), "root", "left_semi").select("node")
+    rest = pages.where("NOT trusted").withColumn("row", F.monotonically_increasing_id())
+    rows = rest.select("row", "id", F.explode("cores").alias("core")).select("row", "id", F.xxhash64("core").alias("node"))
+    found = rows.join(bad, "node", "left_semi").dropDuplicates(["row"]).select("id")
     return known.unionByName(found)
 
 
 def _near_cores(cores: DataFrame) -> DataFrame:
     """All links a < b between cores of similarity SIMILARITY or more."""
-    sets = stored(cores.select(F.col("node").alias("id"), _core_shingles(F.split("core", " ")).alias("items")), "core-sets")
+    sets = stored(cores.select("node", "core").mapInArrow(_core_shingles, "id long, items array<long>"), "core-sets")
     sets = sets.withColumn("blocks", F.col("items")).withColumn("keep", prefix_length(F.size("items"), SIMILARITY))
     return verified(stored(block_pairs(sets, SIMILARITY), "core-pairs"), sets, SIMILARITY).select("a", "b")
 
 
-def _core_shingles(words: Column) -> Column:
-    """Distinct runs of SHINGLE words; a core of fewer words is one run."""
-    return F.when(F.size(words) >= SHINGLE, shingles(words, SHINGLE)).otherwise(F.array(F.xxhash64(words)))
+def _core_shingles(batches):
+    """Distinct runs of SHINGLE words of each core, as 64-bit hashes; a core of fewer words is one run."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    import xxhash
+
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        words = pc.split_pattern(batch.column(1), " ")
+        n = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        known = words.flatten().dictionary_encode()
+        own = np.array([xxhash.xxh64_intdigest(w) for w in known.dictionary.to_pylist()], dtype=np.uint64)[known.indices.to_numpy(zero_copy_only=False)]
+        # words beyond the end of a short core count as zero
+        own = np.concatenate((own, np.zeros(SHINGLE, np.uint64)))
+        start = np.cumsum(n) - n
+        runs = np.maximum(n - SHINGLE + 1, 1)
+        row = np.repeat(np.arange(len(n)), runs)
+        k = np.arange(len(row)) - (np.cumsum(runs) - runs)[row]
+        at, left = start[row] + k, n[row] - k
+        h = np.zeros(len(row), np.uint64)
+        for j in range(SHINGLE):
+            h = h * odd + np.where(j < left, own[at + j], np.uint64(0))
+        h = (h ^ (h >> np.uint64(29))) * odd
+        h ^= h >> np.uint64(32)
+        order = np.lexsort((h, row))
+        h, row = h[order], row[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+        ends = np.concatenate(([0], np.cumsum(np.bincount(row[new], minlength=len(n))))).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(h[new].view(np.int64)))], names=["id", "items"])
 
 
 def residue_records(df: DataFrame, id_col: str = "record_id", text_col: str = "content_text", title_cols: tuple[str, ...] = ()) -> DataFrame:
     """The ids of the records that hold residue and no content, in the column id_col."""
     from .main_body import scan_pages
 
-    pages = stored(scan_pages(df, id_col, text_col, title_cols).select("id", "trusted", "core"), "pages")
+    pages = stored(scan_pages(df, id_col, text_col, title_cols).select("id", "trusted", "seed", "cores"), "pages")
     return propagate(pages).select(F.col("id").alias(id_col))
 
 

@@ -119,3 +119,29 @@ def test_links_of_cores_equal_brute_force(spark):
     expected = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) * 10 >= 8 * len(sets[i] | sets[j])}
     got = {(r["a"], r["b"]) for r in _near_cores(spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(cores)], "node bigint, core string")).collect()}
     assert got == expected and len(expected) > 100
+
+
+NOTICES = """Terjadi kesalahan pada sistem kami sehingga isi berita belum dapat kami muat untuk anda
+Silakan muat ulang laman ini sebentar lagi atau ulangi lewat peramban yang berbeda bila masih gagal
+Sesi anda di laman kami sudah lama berakhir sebab tidak ada kegiatan selama beberapa jam
+Jika halaman masih belum juga tidak muncul tunggu sampai kami selesai memperbaiki semua bagian
+Mohon coba lagi nanti malam setelah perbaikan peladen kami selesai dan semua layanan berjalan
+Terjadi kesalahan saat kami menyambung ke pusat data yang menyimpan seluruh tulisan dan gambar"""
+
+
+def test_residue_whatever_the_length(spark):
+    flat = "Halaman tidak ditemukan. Maaf, halaman yang Anda cari sudah tidak ada di situs kami. Silakan coba lagi beberapa saat lagi. Kode galat: 4F2A. Kembali ke beranda. Hubungi pengelola situs."
+    article = "Maaf, kami tidak menyangka halaman itu hilang, kata Pak Budi. Warga desa menyambut panel surya yang dipasang sejak Januari, karena lampu tidak padam lagi dan tagihan turun."
+    assert len(flat) > 160 and line_kind(flat, B.MAIN) == "residue"
+    assert len(article) > 160 and line_kind(article, B.MAIN) == "sentence"
+    unknown = NOTICES.rpartition("\n")[0] + "\nAda gangguan saat kami menyambung ke pusat data yang menyimpan seluruh tulisan dan gambar."
+    opening = "isi tulisan ini belum selesai kami siapkan\nharap bersabar sampai tim kami kembali\nsemua gambar dan tulisan ikut kami pindahkan"
+    rows = [(1, flat), (2, article), (3, NOTICES), (4, unknown), (5, "Terjadi kesalahan pada peladen\n" + opening), (6, opening)]
+    assert len(NOTICES.split()) > 80
+    assert sorted(r["record_id"] for r in residue_records(records(spark, rows)).collect()) == [1, 3, 4, 5, 6]
+
+
+def test_filled_copies_of_an_article_stay(spark):
+    text = "Warga desa menyambut panel surya yang dipasang sejak Januari dengan harga %s per bulan, karena lampu tidak padam lagi."
+    got = [r["record_id"] for r in residue_records(records(spark, [(1, text % "${harga}"), (2, text % "Rp12.000"), (3, ARTICLE + "\n" + text % "Rp9.000")])).collect()]
+    assert got == [1]
