@@ -1,8 +1,9 @@
 """Problem 10: text that was decoded with the wrong character encoding.
 
 Method: the characters outside ASCII are mapped back to the bytes of a legacy encoding, an automaton of the structure of
-UTF-8 bytes finds maximal well-formed multibyte spans, and only those spans are decoded. The legacy encoding is chosen
-for each text by the share of its bytes that fall into such spans; rounds repeat for text that was decoded wrongly more
+UTF-8 bytes finds maximal well-formed multibyte spans, and only those spans are decoded. Any assigned character counts;
+whether it is to be expected only decides between the readings, the text as it stands being one of them. The legacy
+encoding is chosen for each text by the characters that fall into such spans; rounds repeat for text that was decoded wrongly more
 than once. Replacement characters tell of characters that can't be restored.
 
 Cases: a null text is no case; text outside ASCII that is well-formed in none of the encodings stays as it is; repeated
@@ -12,6 +13,7 @@ rows come out as often as they go in.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -77,61 +79,118 @@ def _plausible(c: str) -> bool:
     return bool(_kind(c))
 
 
-def _decode_spans(raw: bytes) -> list[tuple[int, int, str]]:
-    """(start, end, text) of the maximal well-formed spans whose characters are all to be expected."""
+#: Marks that may follow a word, and signs that follow one of two letters or more.
+_AFTER, _SIGNS = frozenset("”’»…–—"), frozenset("™®©°ºª")
+
+
+def _natural(own: str, before: str) -> bool:
+    """Whether the characters that a single one was read as may stand in ordinary text after `before`."""
+    lead, rest = own[0], own[1:]
+    if own.isalpha() or unicodedata.category(lead)[0] in "PZ" or rest.isalpha() and not lead.isalpha() or rest[0].isspace():
+        return True
+    if not all(c in _AFTER or c in _SIGNS or c.isspace() for c in rest):
+        return False
+    word = before[-2:]
+    inside = len(word) == 2 and word.isalpha() and (word.isupper() if lead.isupper() else word.islower())
+    return inside or lead in "Ø×" or rest[0] in _AFTER and not before[-1:].isalpha()
+
+
+def _decode_spans(raw: bytes, run: str, before: str) -> list[tuple[int, int, str, float]]:
+    """(start, end, text, weight) of the maximal well-formed spans of assigned characters. Spans with characters that
+    aren't to be expected weigh less, and only what is to be expected of them counts where the run may as well stand."""
     out = []
     for m in _WELL_FORMED.finditer(raw):
-        at, part, start = m.start(), "", m.start()
+        at = m.start()
+        part: list[tuple[str, int, int]] = []
         for c in [*m.group().decode("utf-8"), ""]:
-            if c and _kind(c):
-                part += c
-            else:
-                if part and _enough(part):
-                    out.append((start, at, part))
-                part, start = "", at + len(c.encode("utf-8"))
+            if c and (_kind(c) or unicodedata.category(c)[0] in "LMNPSZ" or unicodedata.category(c) == "Cf"):
+                part.append((c, at, at + len(c.encode("utf-8"))))
+            elif part:
+                out += _accepted(part, run, before)
+                part = []
             at += len(c.encode("utf-8"))
     return out
 
 
+def _accepted(part: list[tuple[str, int, int]], run: str, before: str) -> list[tuple[int, int, str, float]]:
+    text = "".join(c for c, _, _ in part)
+    odd = [(s, e) for c, s, e in part if _kind(c) != "L"]
+    if all(_kind(c) for c in text) and _enough(text):
+        return [(part[0][1], part[-1][2], text, 1.0)]
+    if not all(_natural(run[s:e], before + run[:s]) for s, e in odd):
+        return [(part[0][1], part[-1][2], text, 0.9)]
+    out, kept = [], []
+    for x in [*part, ("", 0, 0)]:
+        if x[0] and _kind(x[0]):
+            kept.append(x)
+        else:
+            if kept and _enough("".join(c for c, _, _ in kept)):
+                out.append((kept[0][1], kept[-1][2], "".join(c for c, _, _ in kept), 1.0))
+            kept = []
+    return out
+
+
 def _enough(part: str) -> bool:
     script = sum(_kind(c) == "S" for c in part)
     return script == 0 or script >= _SCRIPT_RUN
 
 
-def _single(run: str, encoding: str) -> tuple[str, int, int]:
-    """The run with its spans decoded, the characters in spans, and those that the encoding has."""
+def _single(run: str, encoding: str, before: str = "") -> tuple[str, int, int, float]:
+    """The run with its spans decoded, the characters in spans, those that the encoding has, and the spans' weight."""
     table = _bytes_of(encoding)
     raw = bytes(table.get(ord(c), 0) for c in run)  # 0 breaks spans
-    spans = _decode_spans(raw)
+    spans = _decode_spans(raw, run, before)
     if not spans:
-        return run, 0, sum(b > 0 for b in raw)
+        return run, 0, sum(b > 0 for b in raw), 0.0
     out, at = [], 0
-    for start, end, text in spans:
+    for start, end, text, _ in spans:
         out.append(run[at:start])
         out.append(text)
         at = end
     out.append(run[at:])
-    return "".join(out), sum(e - s for s, e, _ in spans), sum(b > 0 for b in raw)
+    return "".join(out), sum(e - s for s, e, _, _ in spans), sum(b > 0 for b in raw), sum((e - s) * w for s, e, _, w in spans)
+
+
+# Lead bytes of the common characters in East Asian sets, whose first level holds what text mostly has.
+_COMMON = (("gb2312", 0xB0, 0xD7), ("big5", 0xA4, 0xC6), ("shift_jis", 0x88, 0x97), ("euc_kr", 0xB0, 0xC8))
+
+
+@lru_cache(maxsize=100_000)
+def _common(c: str) -> bool:
+    """Whether a character is one of the frequent ones of its script; other scripts than Han and Hangul: any assigned."""
+    if not (0x3400 <= ord(c) <= 0x9FFF or 0xAC00 <= ord(c) <= 0xD7FF or ord(c) >= 0x20000):
+        return unicodedata.category(c)[0] in "LMNPSZ"
+    for name, low, high in _COMMON:
+        try:
+            if low <= c.encode(name)[0] <= high:
+                return True
+        except UnicodeEncodeError:
+            pass
+    return False
 
 
-def _multi(run: str, encoding: str) -> tuple[str, int, int]:
+def _multi(run: str, encoding: str, before: str = "") -> tuple[str, int, int, float]:
     """As _single() for two-byte encodings: a run counts only if it is well-formed but for a cut last character, since
-    ordinary text in such a script has well-formed pairs by chance."""
+    ordinary text in such a script has well-formed pairs by chance; where the restored text is in such a script too, or
+    has characters that aren't to be expected, only if it has more of the common characters than the run."""
     core = run.rstrip(_NOT_READ)
     lost = len(run) - len(core)
     try:
         raw = core.encode(encoding)
     except UnicodeEncodeError:
-        return run, 0, 0
+        return run, 0, 0, 0.0
     if not core or max(raw, default=0) < 128:
-        return run, 0, 0
+        return run, 0, 0, 0.0
     text = raw.decode("utf-8", errors="replace" if lost else "strict") if _fits(raw, lost) else None
     if text is None:
-        return run, 0, len(core)
+        return run, 0, len(core), 0.0
     body = text.rstrip(_NOT_READ) if lost else text
-    if not body or any(ord(c) > 127 and not _plausible(c) or 0x3400 <= ord(c) <= 0x9FFF or 0xAC00 <= ord(c) <= 0xD7FF for c in body):
-        return run, 0, len(core)
-    return text + ("" if text.endswith(_NOT_READ) else _NOT_READ * bool(lost)), len(core), len(core)
+    if not body:
+        return run, 0, len(core), 0.0
+    sure = not any(ord(c) > 127 and not _plausible(c) or 0x3400 <= ord(c) <= 0x9FFF or 0xAC00 <= ord(c) <= 0xD7FF for c in body)
+    if not sure and not sum(map(_common, body)) / len(body) > sum(map(_common, core)) / len(core):
+        return run, 0, len(core), 0.0
+    return text + ("" if text.endswith(_NOT_READ) else _NOT_READ * bool(lost)), len(core), len(core), 2.0 * len(core)
 
 
 def _fits(raw: bytes, lost: int) -> bool:
@@ -146,28 +205,21 @@ def repair(text: str) -> tuple[str, list[str], int]:
     """(text with its wrongly decoded spans restored, encodings undone in their order, characters in spans)."""
     undone, changed = [], 0
     for _ in range(ROUNDS):
-        runs = _FOREIGN.findall(text)
+        runs = [(m.group(), text[max(0, m.start() - 2) : m.start()]) for m in _FOREIGN.finditer(text)]
         if not runs:
             break
         best = ("", 0, 0.0)
-        for encoding in SINGLE_BYTE:
-            hit = have = 0
-            for r in runs:
-                _, h, n = _single(r, encoding)
-                hit, have = hit + h, have + n
-            if hit and (hit, hit / max(have, 1)) > (best[1] * 1.0, best[2]) and hit > best[1]:
-                best = (encoding, hit, hit / max(have, 1))
-        for encoding in MULTI_BYTE:
-            hit = have = weight = 0
-            for r in runs:
-                _, h, n = _multi(r, encoding)
-                hit, have, weight = hit + h, have + n, weight + 2 * h
-            if weight > best[1] and hit:
-                best = (encoding, weight, hit / max(have, 1))
+        for encoding in (*SINGLE_BYTE, *MULTI_BYTE):
+            hit, weight = 0, 0.0
+            for r, before in runs:
+                _, h, _, w = (_multi if encoding in MULTI_BYTE else _single)(r, encoding, before)
+                hit, weight = hit + h, weight + w
+            if weight > best[2]:
+                best = (encoding, hit * (1 + (encoding in MULTI_BYTE)), weight)
         if not best[1]:
             break
         one = _multi if best[0] in MULTI_BYTE else _single
-        new = _FOREIGN.sub(lambda m, f=one, e=best[0]: f(m.group(), e)[0], text)
+        new = _FOREIGN.sub(lambda m, f=one, e=best[0]: f(m.group(), e, text[max(0, m.start() - 2) : m.start()])[0], text)
         if new == text:
             break
         text, changed = new, changed + best[1]

@@ -138,3 +138,21 @@ def test_repaired_table(spark):
     got = {(r["doc_id"], r["restored"][:5], r["lost"]) for r in repaired(df).collect()}
     assert got == {(4, "£ 3", 0), (5, "hilan", 1), (None, "é 1", 0), (7, "é é é", 0)}
     assert repaired(df).count() == 5 and repaired(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("clean", ["emisi CO₂ turun", "hambatan 10 kΩ", "hambatan 5 MΩ", "kata বাংলা ভাষা", "தமிழ் மொழி", "ꦲꦏ꧀ꦱꦫ", "ខ្មែរ", "ბათუმი", "հայ"])
+def test_any_assigned_character_is_restored(clean):
+    wrong = "".join(bytes([b]).decode("cp1252") if _has(b, "cp1252") else chr(b) for b in clean.encode())
+    assert repair(wrong)[0] == clean
+
+
+def test_han_and_hangul_read_in_two_byte_encodings():
+    for clean in ("日照时间", "太阳能电池板"):
+        wrong = clean.encode().decode("gb18030")
+        assert repair(wrong)[0] == clean
+    assert repair("태양광발전".encode().decode("gb18030", errors="replace"))[0].startswith("태양광발")
+
+
+@pytest.mark.parametrize("text", ["CAFÉ® dan “MENÚ”", "É… voilà\xa0…", "2 ×\xa03 «École»", "–£5 dan —Écoute", "中国人民 태양광 발전소", "ОАО «МИР» и солнце"])
+def test_ordinary_text_stays(text):
+    assert repair(text) == (text, [], 0)
