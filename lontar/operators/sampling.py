@@ -56,20 +56,38 @@ def bucket_sample(df: DataFrame, id_col: str, columns: Sequence[str], order: Seq
     return df.drop("labeling_bucket_column", "labeling_bucket_value").join(chosen, id_col)
 
 
+#: Groups of one profile that one task ranks, about.
+UNIT = 100_000
+#: Groups beyond the largest that are dealt one by one, about, so that loads which differ after whole rounds even out.
+SINGLY = 20_000
+
+
 def group_folds(df: DataFrame, group: str, label: str, labels: Sequence, folds: int = FOLDS, seed: int = SEED, largest: int = 20_000) -> DataFrame:
-    """group, fold: groups stay whole and labels spread evenly. Label counts of each group are aggregated; the `largest`
-    groups are dealt greedily, where they hurt balance most, the others by the order of their hash within their label
-    profile, so the driver holds a bounded number of groups."""
-    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(label) == x).alias(f"c{k}") for k, x in enumerate(labels)])
+    """group, fold: groups stay whole and labels spread evenly. Label counts of each group are aggregated. The `largest`
+    groups are dealt one by one, where they hurt balance most; of the others, all with the same counts are a profile,
+    whose groups are dealt round by round in the order of their hash, and the last of them one by one from the loads so
+    far. The driver holds the largest groups and the profiles."""
+    cs = [f"c{k}" for k in range(len(labels))]
+    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(label) == x).alias(c) for c, x in zip(cs, labels, strict=True)])
     h = F.xxhash64(group, F.lit(seed))
     ranked = counts.withColumn("h", h)
-    head = ranked.orderBy(F.desc("n"), "h").limit(largest)
-    rows = head.collect()
-    total = [max(1, sum(r[f"c{k}"] for r in rows)) for k in range(len(labels))]
+    rows = ranked.orderBy(F.desc("n"), "h", group).limit(largest).collect()
+    spark = df.sparkSession
+    kind = df.schema[group].dataType.simpleString()
+    units, rest = [], None
+    if len(rows) == largest:
+        head = spark.createDataFrame([(r[group],) for r in rows], f"_g {kind}")
+        rest = ranked.join(F.broadcast(head), F.col(group).eqNullSafe(F.col("_g")), "left_anti")
+        # a profile of very many groups is cut by hash, so that no task ranks them all
+        sizes = rest.groupBy("n", *cs).agg(F.ceil(F.count(F.lit(1)) / UNIT).alias("parts"))
+        rest = rest.join(sizes, ["n", *cs]).withColumn("part", F.pmod("h", "parts"))
+        units = rest.groupBy("n", *cs, "part").agg(F.count(F.lit(1)).alias("m")).collect()
+        units.sort(key=lambda r: (-r["n"], [r[c] for c in cs], r["part"]))
+    total = [max(1, sum(r[c] for r in rows) + sum(r[c] * r["m"] for r in units)) for c in cs]
     load = [[0.0] * len(labels) for _ in range(folds)]
     size = [0] * folds
-    placed = []
-    for r in rows:
+
+    def deal(r) -> int:
         def cost(f: int) -> tuple:
             # spread of each label's share over folds if the group went to f
             worst = 0.0
@@ -83,12 +101,27 @@ def group_folds(df: DataFrame, group: str, label: str, labels: Sequence, folds:
         for k in range(len(labels)):
             load[best][k] += r[f"c{k}"]
         size[best] += r["n"]
-        placed.append((r[group], best))
-    spark = df.sparkSession
-    kind = df.schema[group].dataType.simpleString()
+        return best
+
+    placed = [(r[group], deal(r)) for r in rows]
     fixed = spark.createDataFrame(placed, f"{group} {kind}, fold int")
-    rest = ranked.join(F.broadcast(fixed.select(F.col(group).alias("_g"))), F.col(group).eqNullSafe(F.col("_g")), "left_anti")
-    return fixed.unionByName(rest.select(group, F.pmod("h", F.lit(folds)).cast("int").alias("fold")))
+    if not units:
+        return fixed
+    plan = []
+    spare = max(folds - 1, SINGLY // len(units))
+    for r in units:
+        rounds = max(0, r["m"] - spare) // folds
+        left = r["m"] - rounds * folds
+        for f in range(folds):
+            for k, c in enumerate(cs):
+                load[f][k] += rounds * r[c]
+            size[f] += rounds * r["n"]
+        plan.append((r["n"], *[r[c] for c in cs], r["part"], rounds * folds, [deal(r) for _ in range(left)]))
+    keys = ["n", *cs, "part"]
+    dealt = spark.createDataFrame(plan, f"{', '.join(f'{k} bigint' for k in keys)}, full bigint, last array<int>")
+    place = rest.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy("h", group)) - 1).join(dealt, keys)
+    fold = F.when(F.col("place") < F.col("full"), F.col("place") % folds).otherwise(F.get("last", F.col("place") - F.col("full")))
+    return fixed.unionByName(place.select(group, fold.cast("int").alias("fold")))
 
 
 def fold_split(fold: Column, test: int = 0, calibration: int = 1) -> Column:

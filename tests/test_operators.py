@@ -168,6 +168,19 @@ def test_sampling(spark):
         sampling.assign_split(g, spark.createDataFrame([("g1", 1), ("g1", 2)], "g string, f int"), "g")
 
 
+def test_folds_are_balanced_beyond_the_largest_groups(spark, monkeypatch):
+    rows = [(f"g{k}", LABELS[0] if k % 50 == 0 else LABELS[1 + k % 2]) for k in range(1800)] + [("big", LABELS[1])] * 7 + [(f"p{k}", x) for k in range(60) for x in (LABELS[0], LABELS[2])]
+    g = spark.createDataFrame(rows, "g string, label string")
+    for unit, singly in ((100_000, 400), (100, 120)):
+        monkeypatch.setattr(sampling, "UNIT", unit)
+        monkeypatch.setattr(sampling, "SINGLY", singly)
+        got = {r["g"]: r["fold"] for r in sampling.group_folds(g, "g", "label", LABELS, folds=6, largest=5).collect()}
+        assert len(got) == 1861
+        for x in LABELS:
+            n = [sum(got[i] == f for i, y in rows if y == x) for f in range(6)]
+            assert max(n) - min(n) <= 2, (x, n)
+
+
 def test_topics(spark):
     df = spark.createDataFrame([("tidak pernah rusak dan bagus", "positif", "A"), ("bagus", "positif", "B"), ("rusak", "negatif", "A"), ("pernah rusak", "negatif", None)], "t string, l string, loc string").withColumn("p", F.monotonically_increasing_id())
     got = [(r["sentiment_label"], r["keyword"], r["rank"], r["document_frequency"]) for r in topics.topic_keywords(df, "t", "l", rules()).orderBy("sentiment_label", "rank").collect()]
