@@ -1,10 +1,9 @@
 """Problem 2: records of evaluation splits that the training split has too, exactly or almost.
 
-Method: winnowing fingerprints. Rolling hashes of three words are taken over each record and minima selected, the rarest
+Method: winnowing fingerprints. Rolling hashes of two words are taken over each record and minima selected, the rarest
 hashes first; selected minima are joined across the splits. The usual selection, one minimum for each window, finds
 only runs as long as a window, which a bigram similarity of 0.6 doesn't promise; so the window is the whole record and
-the number of minima is the one that such a similarity can't escape: pairs that agree in 0.6 of their word pairs share
-half their word triples less one (each break costs two triples and two word pairs). Joined pairs are chained along
+the number of minima is the one that such a similarity can't escape, whatever words repeat. Joined pairs are chained along
 collinear seeds and extended by alignment; coverage is reported per record and source, and the exact share of word
 pairs decides.
 
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship
 from .near_duplicates import COPIES, thinned, wordings
-from .pigeonhole import block_pairs, verified
+from .pigeonhole import block_pairs, prefix_length, verified
 from .shared import norm_split, shingles, stored
 
 
@@ -47,9 +46,8 @@ def split_overlap(
     classes = own.groupBy("key").agg(F.min("id").alias("id"), F.min("text").alias("text"), F.max(in_train).alias("left"), F.max(~in_train).alias("right"))
     classes = stored(classes, "classes")
     words = F.split("text", " ")
-    sets = stored(classes.select("id", "left", "right", shingles(words, 2).alias("items"), shingles(words, 3).alias("blocks")), "sets")
-    shared = F.greatest(F.lit(1), F.floor(F.size("items") / 2) - 1)
-    sets = sets.withColumn("keep", F.greatest(F.lit(1), F.size("blocks") - shared + 1).cast("int"))
+    sets = stored(classes.select("id", "left", "right", shingles(words, 2).alias("items")), "sets")
+    sets = sets.withColumn("blocks", F.col("items")).withColumn("keep", prefix_length(F.size("items"), permille))
     links = verified(stored(block_pairs(sets, permille, two_sided=True), "pairs"), sets, permille)
     same = sets.where("left AND right").select(F.col("id").alias("a"), F.col("id").alias("b"), F.size("items").alias("common"), F.size("items").alias("total"))
     members = own.select("id", "key", "split", "source").join(classes.select("key", F.col("id").alias("rep")), "key").drop("key")

@@ -131,3 +131,10 @@ def test_many_copies_stay_linear(spark):
     assert record_pairs(o).count() == 31 * 11
     held = {(x["train_id"], x["held_id"]) for x in record_pairs(o, copies=5).collect()}
     assert {x for p in held for x in p} == {i for i, _, _ in rows} and ("z2", "z1") in held and len(held) < 90
+
+
+def test_overlap_of_texts_that_repeat_their_words(spark):
+    texts = [" ".join(f"k{n}" for n in t) for t in ((1, 1, 0, 3, 3, 0, 3, 1), (0, 3, 0, 1, 3, 3, 1, 1))]
+    rows = [("a", texts[0], "train", "x"), ("b", texts[1], "test", "x")]
+    df = spark.createDataFrame(rows, "text_id string, processed_text string, split string, source_type string")
+    assert [(r["train_id"], r["held_id"]) for r in record_pairs(split_overlap(df)).collect()] == [("a", "b")]
