@@ -3,9 +3,9 @@
 Method: winnowing fingerprints. Rolling hashes of two words are taken over each record and minima selected, the rarest
 hashes first; selected minima are joined across the splits. The usual selection, one minimum for each window, finds
 only runs as long as a window, which a bigram similarity of 0.6 doesn't promise; so the window is the whole record and
-the number of minima is the one that such a similarity can't escape, whatever words repeat. Joined pairs are chained along
-collinear seeds and extended by alignment; coverage is reported per record and source, and the exact share of word
-pairs decides.
+the number of minima is the one that such a similarity can't escape, whatever words repeat. The exact
+share of word pairs decides. The collinear chains of common seeds, extended by alignment, are no step of the search:
+they measure the coverage of accepted links, per split and source, in report() alone.
 
 Cases: a missing split, or one that is neither training nor evaluation, takes no part; rows with a null id are left
 out; of rows with the same id the least counts; short and null texts have no partners.
