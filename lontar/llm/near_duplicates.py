@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .pigeonhole import block_pairs, prefix_length, verified
+from .pigeonhole import HOT, block_pairs, verified
 from .shared import columns_as, joined_words, shingles, stored
 
 
@@ -36,12 +36,12 @@ def wordings(df: DataFrame, id_col: str, text_col: str, min_words: int, extra: d
     return once.where((F.length("text") > 0) & (F.size(F.split("text", " ")) >= min_words))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "text_id", text_col: str = "text", min_words: int = 12, run: int = 3, permille: int = 600) -> NearDuplicates:
+def near_duplicates(df: DataFrame, id_col: str = "text_id", text_col: str = "text", min_words: int = 12, run: int = 3, permille: int = 600, hot: int = HOT) -> NearDuplicates:
     own = stored(wordings(df, id_col, text_col, min_words).withColumn("key", F.md5("text")), "wordings")
     classes = own.groupBy("key").agg(F.min("id").alias("rep"), F.min("text").alias("text"))
     reps = stored(classes.select("key", F.col("rep").alias("id"), shingles(F.split("text", " "), run).alias("items")), "classes")
-    sets = reps.select("id", "items", F.col("items").alias("blocks"), prefix_length(F.size("items"), permille).alias("keep"))
-    links = verified(stored(block_pairs(sets, permille), "pairs"), sets, permille)
+    sets = reps.select("id", "items")
+    links = verified(block_pairs(sets, permille, hot=hot), sets, permille)
     members = own.select("id", "key").join(reps.select("key", F.col("id").alias("rep")), "key").select("id", "rep")
     return NearDuplicates(stored(links, "links"), stored(members, "members"))
 

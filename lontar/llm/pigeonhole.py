@@ -1,10 +1,12 @@
 """Pairs of similar sets by pigeonhole blocks, without comparing all pairs.
 
 A record's fingerprint is its set of 64-bit shingle hashes. Two sets of Jaccard similarity t or more differ in few
-elements, so their `keep` rarest elements can't all differ: split into one-element blocks, close pairs share a block.
-Blocks are ordered from the rarest, which keeps them small where the data allow it; any order gives all pairs. Joined
-pairs are verified by Hamming distance twice: on a 256-bit parity sketch, whose distance never exceeds that of the
-sets, and then on the sets themselves.
+elements, so their `prefix_length` rarest elements can't all differ: split into one-element blocks, close pairs share a
+block. How many records have an element is counted exactly, in one aggregation over all sets, and joined back; elements
+that no partner has are never sent further. A block that would bring together more than HOT pairs is split: whoever
+meets in frequent elements only shares two of them among one element more, so records meet in pairs of such elements.
+Any block size gives all pairs. Joined pairs are verified by Hamming distance twice: on a 256-bit parity sketch, whose
+distance never exceeds that of the sets, and then on the sets themselves.
 """
 
 from __future__ import annotations
@@ -12,107 +14,69 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import ship
-from .shared import stored
+from .shared import forget, stored
 
 #: Words of 64 bits of the parity sketch: enough for sets of some hundred elements to differ visibly.
 SKETCH = 4
-#: Frequent elements that are sent to the executors with their counts: 16 bytes each. The rest counts as equally rare.
-FREQUENT = 200_000
+#: Pairs that one block may bring together before it is split.
+HOT = 500_000
+
+
+def least_common(n: Column, permille: int) -> Column:
+    """Elements that a set of n has in common with any set of Jaccard similarity permille / 1000 or more, at least."""
+    return F.floor((n * permille + 999) / 1000).cast("int")
 
 
 def prefix_length(n: Column, permille: int) -> Column:
     """Elements of which a set of n must share one with any set of Jaccard similarity permille / 1000 or more."""
-    return (n - F.floor((n * permille + 999) / 1000) + 1).cast("int")
-
+    return n - least_common(n, permille) + 1
 
-def _frequent(sets: DataFrame, limit: int):
-    import numpy as np
 
-    total = sets.agg(F.sum(F.size("blocks"))).first()[0] or 0
-    least = max(2, -(-total // limit))
-    t = sets.select(F.explode("blocks").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).toArrow()
-    h, n = t.column("h").to_numpy(), t.column("n").to_numpy()
-    order = np.argsort(h)
-    return h[order].copy(), n[order].copy()
+def sketch_words(h: Column) -> list[Column]:
+    """Aggregates of the sketch: bit k tells whether an odd number of elements falls on k."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(F.lit(63)).cast("int"))
+    word = F.shiftrightunsigned(h, 6) % SKETCH
+    return [F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"f{k}") for k in range(SKETCH)]
 
 
-def block_pairs(sets: DataFrame, permille: int, two_sided: bool = False, frequent: int = FREQUENT) -> DataFrame:
-    """Candidate pairs a < b of ids, each once.
+def block_pairs(sets: DataFrame, permille: int, two_sided: bool = False, hot: int = HOT) -> DataFrame:
+    """Candidate pairs a < b of ids, each once, stored.
 
-    sets: id, blocks array<bigint>, items array<bigint> (both distinct), keep int; with two_sided also left, right
-    boolean, and then only pairs with a left and a right member. No pair of Jaccard similarity of items >= permille/1000
-    that shares one of the rarest `keep` blocks of both is lost.
+    sets: id, items array<bigint> (distinct); with two_sided also left, right boolean, and then only pairs with a left
+    and a right member. No pair of Jaccard similarity permille / 1000 or more is lost.
     """
-    spark = ship(sets.sparkSession)
-    hot = spark.sparkContext.broadcast(_frequent(sets, frequent))
-    id_type = sets.schema["id"].dataType.simpleString()
     sides = ["left", "right"] if two_sided else []
-    rows = sets.select("id", "blocks", "items", "keep", *sides).mapInArrow(
-        _rarest(hot, two_sided), f"h long, id {id_type}, n int, {', '.join(f'f{k} long' for k in range(SKETCH))}" + ", left boolean, right boolean" * two_sided
+    each = sets.select("id", *sides, F.explode("items").alias("h"))
+    if two_sided:
+        counted = each.groupBy("h").agg((F.count_if("left") * F.count_if("right")).alias("pairs"))
+    else:
+        n = F.count(F.lit(1))
+        counted = each.groupBy("h").agg(F.floor(n * (n - 1) / 2).cast("bigint").alias("pairs"))
+    met = each.select("id", "h").join(counted.where("pairs > 0"), "h")
+    # the elements of one text, from the rarest
+    own = met.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pairs", "h"))).alias("e"), *sketch_words(F.col("h")))
+    size = F.size("items")
+    sized = sets.select("id", size.alias("n"), prefix_length(size, permille).alias("keep"), (least_common(size, permille) < 2).alias("tiny"), *sides)
+    r = sized.join(own, "id").withColumn("alone", F.col("n") - F.size("e")).withColumn("reach", F.col("keep") - F.col("alone")).where("reach > 0")
+    frequent = F.filter(F.slice("e", F.lit(1), F.col("reach") + 1), lambda x: x["pairs"] > hot)
+    keys = F.concat(
+        F.transform(F.filter(F.slice("e", F.lit(1), F.col("reach")), lambda x: (x["pairs"] <= hot) | F.col("tiny")), lambda x: x["h"]),
+        F.flatten(F.transform(frequent, lambda x, i: F.transform(F.slice(frequent, i + 2, F.size(frequent)), lambda y: F.xxhash64(x["h"], y["h"])))),
     )
-    rows = stored(rows, "blocks")
+    rows = stored(r.select("id", "n", "alone", *[f"f{k}" for k in range(SKETCH)], *sides, F.explode(keys).alias("h")), "blocks")
     a, b = (rows.where("left"), rows.where("right")) if two_sided else (rows, rows)
     a, b = a.alias("a"), b.alias("b")
-    differ = sum((F.bit_count(F.col(f"a.f{k}").bitwiseXOR(F.col(f"b.f{k}"))) for k in range(SKETCH)), F.lit(0))
+    differ = sum((F.bit_count(F.col(f"a.f{k}").bitwiseXOR(F.col(f"b.f{k}"))) for k in range(SKETCH)), F.col("a.alone") + F.col("b.alone"))
     joined = a.join(b, F.col("a.h") == F.col("b.h")).where(F.col("a.id") != F.col("b.id") if two_sided else F.col("a.id") < F.col("b.id"))
-    return (
+    pairs = stored(
         joined.where(F.least("a.n", "b.n") * 1000 >= F.greatest("a.n", "b.n") * permille)
         .where(differ * (1000 + permille) <= (F.col("a.n") + F.col("b.n")) * (1000 - permille))
         .select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
-        .distinct()
+        .distinct(),
+        "pairs",
     )
-
-
-def _rarest(hot, two_sided: bool):
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        keys, counts = hot.value
-        for batch in batches:
-            ids, blocks, items, keep = batch.columns[:4]
-            n = len(ids)
-            if not n:
-                continue
-            v = blocks.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            length = blocks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            row = np.repeat(np.arange(n), length)
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, v), len(keys) - 1)
-                weight = np.where(keys[at] == v, counts[at], 0)
-            else:
-                weight = np.zeros(len(v), np.int64)
-            order = np.lexsort((v, weight, row))
-            start = np.concatenate(([0], np.cumsum(length)[:-1]))
-            rank = np.arange(len(v)) - start[row]
-            chosen = rank < keep.to_numpy(zero_copy_only=False)[row]
-            h, r = v[order][chosen], row[chosen]
-            n_items, sketch = parity(items)
-            out = [pa.array(h), ids.take(pa.array(r)), pa.array(n_items[r].astype(np.int32)), *[pa.array(word[r]) for word in sketch]]
-            names = ["h", "id", "n", *[f"f{k}" for k in range(SKETCH)]]
-            if two_sided:
-                out += [c.take(pa.array(r)) for c in batch.columns[4:6]]
-                names += ["left", "right"]
-            yield pa.RecordBatch.from_arrays(out, names=names)
-
-    return run
-
-
-def parity(items):
-    """Sizes of the sets, and the words of their sketches: bit k tells whether an odd number of elements falls on k."""
-    import numpy as np
-
-    v = items.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-    length = items.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    start = np.concatenate(([0], np.cumsum(length)))
-    bit = np.left_shift(np.uint64(1), v & np.uint64(63))
-    word = (v >> np.uint64(6)) % np.uint64(SKETCH)
-    out = []
-    for k in range(SKETCH):
-        run = np.concatenate(([np.uint64(0)], np.bitwise_xor.accumulate(np.where(word == k, bit, np.uint64(0))))) if len(v) else np.zeros(1, np.uint64)
-        out.append((run[start[1:]] ^ run[start[:-1]]).view(np.int64))
-    return length, out
+    forget(rows)
+    return pairs
 
 
 def verified(pairs: DataFrame, sets: DataFrame, permille: int) -> DataFrame:

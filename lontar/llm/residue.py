@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from .components import components
-from .pigeonhole import block_pairs, prefix_length, verified
+from .pigeonhole import block_pairs, verified
 from .shared import stored
 
 #: Words of a shingle, and the least Jaccard similarity of a link, in thousandths.
@@ -138,8 +138,7 @@ def propagate(pages: DataFrame) -> DataFrame:
 def _near_cores(cores: DataFrame) -> DataFrame:
     """All links a < b between cores of similarity SIMILARITY or more."""
     sets = stored(cores.select("node", "core").mapInArrow(_core_shingles, "id long, items array<long>"), "core-sets")
-    sets = sets.withColumn("blocks", F.col("items")).withColumn("keep", prefix_length(F.size("items"), SIMILARITY))
-    return verified(stored(block_pairs(sets, SIMILARITY), "core-pairs"), sets, SIMILARITY).select("a", "b")
+    return verified(block_pairs(sets, SIMILARITY), sets, SIMILARITY).select("a", "b")
 
 
 def _core_shingles(batches):

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship
 from .near_duplicates import COPIES, thinned, wordings
-from .pigeonhole import block_pairs, prefix_length, verified
+from .pigeonhole import HOT, block_pairs, verified
 from .shared import norm_split, shingles, stored
 
 
@@ -36,7 +36,7 @@ class SplitOverlap:
 
 def split_overlap(
     df: DataFrame, id_col: str = "text_id", text_col: str = "processed_text", split_col: str = "split", source_col: str = "source_type",
-    train: tuple[str, ...] = ("train",), held_out: tuple[str, ...] = ("calibration", "test"), min_words: int = 8, permille: int = 600,
+    train: tuple[str, ...] = ("train",), held_out: tuple[str, ...] = ("calibration", "test"), min_words: int = 8, permille: int = 600, hot: int = HOT,
 ) -> SplitOverlap:
     known = df.where(norm_split(df[split_col]).isin(*train, *held_out))
     own = wordings(known, id_col, text_col, min_words, {"split": split_col, "source": source_col})
@@ -47,8 +47,7 @@ def split_overlap(
     classes = stored(classes, "classes")
     words = F.split("text", " ")
     sets = stored(classes.select("id", "left", "right", shingles(words, 2).alias("items")), "sets")
-    sets = sets.withColumn("blocks", F.col("items")).withColumn("keep", prefix_length(F.size("items"), permille))
-    links = verified(stored(block_pairs(sets, permille, two_sided=True), "pairs"), sets, permille)
+    links = verified(block_pairs(sets, permille, two_sided=True, hot=hot), sets, permille)
     same = sets.where("left AND right").select(F.col("id").alias("a"), F.col("id").alias("b"), F.size("items").alias("common"), F.size("items").alias("total"))
     members = own.select("id", "key", "split", "source").join(classes.select("key", F.col("id").alias("rep")), "key").drop("key")
     return SplitOverlap(stored(links.unionByName(same), "links"), stored(members, "members"), classes.select("id", "text"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lontar.llm.near_duplicates import expanded, groups, near_duplicates
-from lontar.llm.pigeonhole import parity
+from lontar.llm.pigeonhole import sketch_words
 from lontar.llm.split_overlap import align, aligned, record_pairs, report, split_overlap
 
 WORDS = [f"w{k}" for k in range(400)]
@@ -106,19 +106,34 @@ def test_align():
     assert align(["x"] * 3000, ["x"] * 2999)[1] == 2999  # repeated seeds stay linear
 
 
-def test_parity_never_exceeds_the_distance():
-    import pyarrow as pa
-
+def test_sketch_never_exceeds_the_distance(spark):
     rng = random.Random(3)
-    sets = [sorted({rng.getrandbits(63) for _ in range(rng.randrange(0, 60))}) for _ in range(40)]
-    n, sketch = parity(pa.array(sets, pa.list_(pa.int64())))
-    assert list(n) == [len(s) for s in sets]
+    sets = [sorted({rng.getrandbits(63) * rng.choice([1, -1]) for _ in range(rng.randrange(1, 60))}) for _ in range(40)]
+    df = spark.createDataFrame([(k, h) for k, s in enumerate(sets) for h in s], "id int, h bigint")
+    sketch = {r["id"]: tuple(r)[1:] for r in df.groupBy("id").agg(*sketch_words(F.col("h"))).collect()}
     for i in range(40):
         for j in range(40):
-            bits = sum(bin((int(f[i]) ^ int(f[j])) & (2**64 - 1)).count("1") for f in sketch)
+            bits = sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(sketch[i], sketch[j], strict=True))
             assert bits <= len(set(sets[i]) ^ set(sets[j]))
 
 
+@pytest.mark.parametrize("words", [3, 5, 10])
+def test_split_blocks_lose_no_pair(spark, words):
+    """Repetitive texts, whose elements are nearly all frequent, with every block above two pairs split."""
+    rng = random.Random(words)
+    rows = [(f"t{k:03}", " ".join(f"k{rng.randrange(words)}" for _ in range(rng.randrange(12, 30)))) for k in range(300)]
+    rows += [(f"u{k:03}", t + rng.choice(["", " akhir"])) for k, (_, t) in enumerate(rows[:100])]
+    df = spark.createDataFrame([(i, t, rng.choice(["train", "test"]), None) for i, t in rows], "text_id string, text string, split string, source_type string")
+    expected = brute(rows, 3, 12)
+    for hot in (2, 500_000):
+        assert {tuple(x) for x in expanded(near_duplicates(df, hot=hot)).collect()} == expected
+    side = {r["text_id"]: r["split"] for r in df.collect()}
+    across = {(a, b) for a, b in brute(rows, 2, 8) if side[a] != side[b]}
+    for hot in (2, 500_000):
+        o = split_overlap(df, text_col="text", hot=hot)
+        assert {tuple(sorted((x["train_id"], x["held_id"]))) for x in record_pairs(o).collect()} == across
+
+
 def test_many_copies_stay_linear(spark):
     t, like = "satu dua tiga empat lima enam tujuh delapan sembilan sepuluh sebelas duabelas tigabelas empatbelas", "nol satu dua tiga empat lima enam tujuh delapan sembilan sepuluh sebelas duabelas tigabelas empatbelas"
     rows = [(f"c{k:02}", t, "train" if k < 30 else "test") for k in range(40)] + [("z1", like, "test"), ("z2", like, "train")]
