@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..runtime import ship
 from .shared import forget, stored
 
-#: Edges that one task may hold: under 100 MB with keys of 100 bytes.
-FINISH_AT = 200_000
+#: Edges that one task may hold: few enough to cost less than a round.
+FINISH_AT = 2_000
 
 
 def components(edges: DataFrame, finish_at: int = FINISH_AT, forest: bool = False) -> tuple[DataFrame, DataFrame | None]:

@@ -28,6 +28,13 @@ def p1_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_boilerplate(_table(spark, sf_dir, "url_discovery")).select("record_id", "content_text")
 
 
+def p1_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of repeated lines of each site."""
+    from .site_lines import boilerplate_blocks
+
+    return boilerplate_blocks(_table(spark, sf_dir, "url_discovery"))
+
+
 def _overlap(spark: SparkSession, sf_dir: str):
     from .split_overlap import split_overlap
 
@@ -49,6 +56,16 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_overlap(spark, sf_dir)).withColumnRenamed("source", "source_type")
 
 
+def p2_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record that takes part, with the representative of its wording: text_id, rep, split."""
+    return _overlap(spark, sf_dir).members.select(F.col("id").alias("text_id"), "rep", "split")
+
+
+def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links between wordings of both sides: rep_a, rep_b, common and total word pairs."""
+    return _overlap(spark, sf_dir).links.toDF("rep_a", "rep_b", "common", "total")
+
+
 def _sample(spark: SparkSession, sf_dir: str):
     from .calibrated_sample import calibrated_sample
 
@@ -72,6 +89,13 @@ def p3_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.report.join(drawn, "target_id", "left").select("target_id", "available", "wanted", F.coalesce("drawn", F.lit(0)).alias("drawn"), "gap")
 
 
+def p3_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wanted and expected rows of each value of each category, all margins met at once."""
+    from .calibrated_sample import calibrated_margins
+
+    return calibrated_margins(_table(spark, sf_dir, "candidate_labeling_dataset"), _table(spark, sf_dir, "sampling_targets"))[0].select("category", "value", "wanted", "expected")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of url_discovery that hold residue and no content."""
     from .residue import residue_records
@@ -169,7 +193,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_cleaned, p2_found, p2_report, p3_found, p3_sample, p3_cells, p4_found, p5_found, p5_groups, p6_found, p6_bodies,
+        p1_found, p1_cleaned, p1_blocks, p2_found, p2_report, p2_members, p2_links, p3_found, p3_sample, p3_cells, p3_margins, p4_found, p5_found, p5_groups, p6_found, p6_bodies,
         p7_found, p7_splits, p8_ids, p9_found, p9_items, p10_found, p10_restored,
     )
 }

@@ -46,3 +46,15 @@ def test_labels_and_forest(spark, name, finish_at):
 def test_text_nodes(spark):
     labels, _ = components(spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "y")], "a string, b string"), 0)
     assert {r["node"]: r["root"] for r in labels.collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
+
+
+def test_many_edges_by_rounds_alone(spark):
+    """300,000 edges of rings and stars, contracted to the end without the final task."""
+    from pyspark.sql import functions as F
+
+    e = spark.range(300_000).select(F.floor(F.col("id") / 300).alias("g"), (F.col("id") % 300).alias("k"))
+    ring = F.struct((F.col("g") * 300 + F.col("k")).alias("a"), (F.col("g") * 300 + (F.col("k") + 1) % 300).alias("b"))
+    star = F.struct((F.col("g") * 300).alias("a"), (F.col("g") * 300 + F.col("k")).alias("b"))
+    edges = e.select(F.when(F.col("g") % 2 == 0, ring).otherwise(star).alias("e")).select("e.a", "e.b")
+    labels, _ = components(edges, 0)
+    assert labels.where("root <> node - node % 300").count() == 0 and labels.count() == 300_000

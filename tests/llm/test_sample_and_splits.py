@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 
-from lontar.llm.calibrated_sample import calibrated_sample, tilt
+from lontar.llm.calibrated_sample import calibrated_margins, calibrated_sample, tilt
 from lontar.llm.group_splits import bound_records, group_splits, key_of
 
 TARGET = "target_id int, source_type string, aspect string, dataset_tier string, target_permille int, min_rows int, probability string"
@@ -50,8 +50,35 @@ def test_small_chunks_keep_whole_counts(spark, monkeypatch):
 
 
 def test_tilt_meets_its_targets():
-    p = tilt([1000, 50, 7, 0], [3, 50, 6.5, 4], 0.2)
-    assert [round(n * x, 6) for n, x in zip([1000, 50, 7, 0], p, strict=True)] == [3, 50, 6.5, 0]
+    p = tilt([1000, 50, 7, 0, 9], [[k] for k in range(5)], [3, 50, 6.5, 4, 20], 0.2)
+    assert [round(n * x, 6) for n, x in zip([1000, 50, 7, 0, 9], p, strict=True)] == [3, 50, 6.5, 0, 9]
+
+
+def test_tilt_meets_overlapping_margins():
+    rng = random.Random(4)
+    members = [[a, 4 + b, 7 + c] for a in range(4) for b in range(3) for c in range(2)]
+    counts = [rng.randrange(1, 5000) for _ in members]
+    share = [rng.choice([0.02, 0.4, 0.9]) for _ in members]
+    goals = [sum(n * s for m, n, s in zip(members, counts, share, strict=True) if j in m) for j in range(9)]
+    p = tilt(counts, members, goals, 0.2)
+    assert all(0 < x <= 1 for x in p)
+    for j in range(9):
+        assert abs(sum(n * x for m, n, x in zip(members, counts, p, strict=True) if j in m) - goals[j]) < 1e-6 * goals[j]
+    # the probabilities of cells that are not full are products of one factor for each margin
+    free = {tuple(m): x for m, x in zip(members, p, strict=True)}
+    for a in range(3):
+        four = [free[(a, 4, 7)], free[(a + 1, 5, 7)], free[(a, 5, 7)], free[(a + 1, 4, 7)]]
+        if max(four) < 1:
+            assert abs(four[0] * four[1] / (four[2] * four[3]) - 1) < 1e-6
+
+
+def test_margins(spark):
+    df = spark.createDataFrame([(*r,) for r in people()], "text_id string, source_type string, aspect string, dataset_tier string")
+    targets = spark.createDataFrame([(1, "NEWS", "a", "t", 500, 3, "x"), (2, "so_cial", "a", "t", 300, 90, "x"), (3, "none", "a", "t", 0, 5, "x")], TARGET)
+    margins, cells = calibrated_margins(df, targets)
+    got = {(r["category"], r["value"]): (r["wanted"], r["expected"]) for r in margins.collect()}
+    assert got[("source_type", "news")] == (100, 100.0) and got[("source_type", "so_cial")] == (90, 90.0) and got[("aspect", "a")] == (190, 190.0) and got[("source_type", "none")] == (0, 0.0)
+    assert cells.count() == 3 and calibrated_margins(df.limit(0), targets)[0].count() == 5 and calibrated_margins(df, targets.limit(0))[0].count() == 0
 
 
 @pytest.mark.parametrize(

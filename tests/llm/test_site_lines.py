@@ -1,4 +1,4 @@
-from lontar.llm.site_lines import boilerplate_lines, site_of, without_boilerplate
+from lontar.llm.site_lines import boilerplate_blocks, boilerplate_lines, site_of, without_boilerplate
 
 SHAPE = "record_id bigint, canonical_url string, domain string, content_text string, k string, keys string, block string, page string, site string"
 
@@ -48,6 +48,16 @@ def test_text_comes_out_without_them(spark):
     assert without_boilerplate(frame(spark, rows())).columns == frame(spark, rows()).columns
 
 
+def test_blocks_and_their_occurrences(spark):
+    own = [(k, f"https://a.example/{k}", "a.example", f"Kepala\n \nMenu\n\nIsi {k}\n\nKaki") for k in range(7)]
+    own.append((7, "https://a.example/7", "a.example", "Kepala\nIsi 7\n\nMenu"))
+    got = {r["first_line"]: tuple(r)[2:] for r in boilerplate_blocks(frame(spark, own)).collect()}
+    assert got == {"kepala": (2, 8, 16), "kaki": (1, 7, 7)}
+    out = {r["record_id"]: r["content_text"] for r in without_boilerplate(frame(spark, own)).collect()}
+    assert out[3] == "\nIsi 3\n" and out[7] == "Isi 7\n"  # the blank line inside the block goes, those around the text stay
+    assert boilerplate_blocks(frame(spark, [])).count() == 0
+
+
 def test_long_text(spark):
     text = "\n".join(f"baris {k}" for k in range(20_000))
     many = [(k, f"https://a.example/{k}", "a.example", text) for k in range(6)]
