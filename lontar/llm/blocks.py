@@ -11,6 +11,7 @@ headline, link lists under a heading such as "related articles", and list items
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 MAIN, FRAME, OPEN, BLANK = "M", "C", "?", "-"
 #: Pass-1 marks that pass 2 treats specially: a heading of a link list, and a line of a link list.
@@ -104,9 +105,11 @@ _AUTHOR = re.compile(
 )
 _BYLINE_ROLES = re.compile(r"^(?:oleh|penulis|reporter|editor|redaktur|penyunting|pewarta|laporan|kontributor|by|author)\b")
 _SEPARATORS = re.compile(r"\s*[|/›>»·•‹<]\s*|\s{2,}")
+_MARKS, _WIDE = "|/›>»·•‹<", re.compile(r"[^\S ]\s|\s[^\S ]")
 _CRUMB = re.compile(r"(?:beranda|home|depan)\s*[>›/»|]")
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _ZERO_WIDTH = re.compile("[​‌‍⁠﻿­]")
+_BULLETS = frozenset("•*·–—-(")
 _BULLET = re.compile(r"^(?:[•*·–—-]\s+|\(?\d{1,3}[.)]\s+)")
 _NUMBERED = re.compile(r"^\(?\d{1,3}[.)]\s+")
 _FIELD = re.compile(r"^\w+:\s")
@@ -114,13 +117,20 @@ _FIELD = re.compile(r"^\w+:\s")
 _INTERRUPTS = re.compile(
     r"(?:advertisement|iklan|ads?|pariwara|sponsor|gulir|scroll|lanjut|continue reading|simak video|pasang iklan|(?:baca|lihat|simak|cek|tonton) (?:juga|pula)|(?:read|see) (?:also|more))\b"
 )
-_SENTENCE_END = re.compile(r"[.!?…][\"'”’)»]*$")
+
+
+def ends_sentence(s: str) -> bool:
+    return s.rstrip("\"'”’)»")[-1:] in _ENDS
+
+
+_ENDS = frozenset(".!?…")
 
 
 def strip_marks(line: str) -> str:
     """The line without zero-width characters, outer blanks, bullet, enclosing brackets and closing `:` or `»`."""
-    s = _ZERO_WIDTH.sub("", line).replace("\xa0", " ").strip()
-    s = _BULLET.sub("", s, count=1)
+    s = line.strip() if line.isascii() else _ZERO_WIDTH.sub("", line).replace("\xa0", " ").strip()
+    if s and (s[0] in _BULLETS or s[0].isdigit()):
+        s = _BULLET.sub("", s, count=1)
     while s and s[-1] in ":»":
         s = s[:-1].rstrip()
     if len(s) > 2 and s[0] == "[" and s[-1] == "]":
@@ -139,6 +149,8 @@ def stop_word_density(words: list[str]) -> float:
 
 def link_density(text: str) -> float:
     """Share of the pieces between separators that are as short as the links of menus and footers; 0 below three."""
+    if "  " not in text and not any(c in text for c in _MARKS) and not _WIDE.search(text):
+        return 0.0
     pieces = [p for p in _SEPARATORS.split(text) if p]
     if len(pieces) < 3:
         return 0.0
@@ -147,14 +159,17 @@ def link_density(text: str) -> float:
 
 def first_pass(line: str) -> str:
     """Label of a line alone: MAIN, FRAME, LINKS (heading of a link list), OPEN or BLANK."""
-    s = strip_marks(line)
+    return _first_pass(strip_marks(line))
+
+
+def _first_pass(s: str) -> str:
     if not s:
         return BLANK
     low = s.casefold()
     if _FRAME_START.match(low):
         return LINKS if _LINK_HEADING.match(low) else FRAME
     if len(s) > 140:
-        return FRAME if len(s) < 1000 and link_density(s) >= 0.8 and not _SENTENCE_END.search(s) else MAIN
+        return FRAME if len(s) < 1000 and not ends_sentence(s) and link_density(s) >= 0.8 else MAIN
     if _LINK_HEADING.match(low):
         return LINKS
     if low in _LABELS:
@@ -164,7 +179,7 @@ def first_pass(line: str) -> str:
     if len(s) < 90 and (_DATE_LINE.match(low) or _is_byline(s, low)):
         return FRAME
     words = _WORD.findall(low)
-    ends = bool(_SENTENCE_END.search(s))
+    ends = ends_sentence(s)
     if not ends and link_density(s) >= 0.8:
         return FRAME
     if not words:
@@ -184,7 +199,7 @@ def _is_byline(s: str, low: str) -> bool:
         rest = s.split(None, 1)[1] if " " in s else ""
         small = [w for w in rest.split() if w[:1].islower() and w not in ("untuk", "dan", "oleh", "for", "and", "di")]
         return len(low.split()) <= 12 and (len(small) <= 1 or s.isupper() or s.islower()) and all(len(n.split()) <= 10 for n in names)
-    if " - " in s and not _SENTENCE_END.search(s):
+    if " - " in s and not ends_sentence(s):
         left, _, right = s.partition(" - ")
         if 2 <= len(left.split()) <= 4 and 1 <= len(right.split()) <= 4:
             tokens = (left + " " + right).split()
@@ -192,49 +207,73 @@ def _is_byline(s: str, low: str) -> bool:
     return False
 
 
-def label_lines(lines: list[str], titles: tuple[str, ...] = (), cache: dict[str, str] | None = None) -> list[str]:
+def label_lines(lines: list[str], titles: tuple[str, ...] = (), cache: dict[str, Line] | None = None) -> list[str]:
     """MAIN, FRAME or BLANK for each line of one page."""
     return page_lines(lines, titles, cache)[1]
 
 
-def page_lines(lines: list[str], titles: tuple[str, ...] = (), cache: dict[str, str] | None = None) -> tuple[list[str], list[str], set[int]]:
-    """Pass-1 marks, final labels and the indexes of the lines in link lists, of one page.
+class Line(NamedTuple):
+    """What pass 1 knows of a line: its label, its text by strip_marks(), words, and whether it is a frame line that stands
+    inside bodies too."""
+
+    mark: str
+    text: str
+    n_words: int
+    inside: bool
+
+
+def read_line(line: str) -> Line:
+    s = strip_marks(line)
+    mark = _first_pass(s)
+    return Line(mark, s, len(s.split()), mark == FRAME and bool(_INTERRUPTS.match(s.casefold())))
+
+
+def is_title(line: str, titles: tuple[str, ...]) -> bool:
+    """Whether the line squashed is one of the squashed titles; its first character tells most lines apart."""
+    first = line.lstrip()[:1].lower()
+    if first.isascii() and first.isalnum() and not any(t[0] == first for t in titles):
+        return False
+    return squash(line) in titles
+
+
+def page_lines(lines: list[str], titles: tuple[str, ...] = (), cache: dict[str, Line] | None = None) -> tuple[list[Line], list[str], set[int]]:
+    """Pass 1, final labels and the indexes of the lines in link lists, of one page.
 
-    titles: squashed headlines that the page's record names, where it has any. cache: keeps pass-1 labels of lines
-    that recur on many pages.
+    titles: squashed headlines that the page's record names, where it has any. cache: keeps pass 1 of lines that recur on
+    many pages.
     """
-    marks = []
+    known = []
     for line in lines:
-        m = cache.get(line) if cache is not None else None
-        if m is None:
-            m = first_pass(line)
+        x = cache.get(line) if cache is not None else None
+        if x is None:
+            x = read_line(line)
             if cache is not None and len(line) < 200:
                 if len(cache) > 200_000:
                     cache.clear()
-                cache[line] = m
-        marks.append(m)
-    rows = [i for i, m in enumerate(marks) if m != BLANK]
-    out = list(marks)
-    top = _headline(lines, marks, out, rows, titles)
-    _link_lists(lines, marks, out, rows)
-    links = {i for i in rows if out[i] == FRAME and marks[i] == OPEN}
-    _neighbours(lines, out, rows, top, links)
-    return marks, [BLANK if m == BLANK else MAIN if m == MAIN else FRAME for m in out], links
-
-
-def _headline(lines: list[str], marks: list[str], out: list[str], rows: list[int], titles: tuple[str, ...]) -> int:
+                cache[line] = x
+        known.append(x)
+    out = [x.mark for x in known]
+    rows = [i for i, m in enumerate(out) if m != BLANK]
+    top = _headline(lines, known, out, rows, titles)
+    _link_lists(lines, known, out, rows)
+    links = {i for i in rows if out[i] == FRAME and known[i].mark == OPEN}
+    _neighbours(known, out, rows, top, links)
+    return known, [m if m in (BLANK, MAIN) else FRAME for m in out], links
+
+
+def _headline(lines: list[str], known: list[Line], out: list[str], rows: list[int], titles: tuple[str, ...]) -> int:
     """Line of the headline, -1 without one: the first line that equals a headline of the record, else the last
     undecided line of four words or more before the first paragraph."""
     if titles:
         for i in rows:
-            if marks[i] != LINKS and squash(lines[i]) in titles:
+            if known[i].mark != LINKS and is_title(lines[i], titles):
                 out[i] = MAIN
                 return i
     best = -1
     for i in rows:
-        if marks[i] in (MAIN, LINKS):
+        if known[i].mark in (MAIN, LINKS):
             break
-        if marks[i] == OPEN and len(strip_marks(lines[i]).split()) >= 4:
+        if known[i].mark == OPEN and known[i].n_words >= 4:
             best = i
     if best >= 0:
         out[best] = MAIN
@@ -249,15 +288,15 @@ def _style(line: str) -> str:
     return m.group().strip()[-1]
 
 
-def _link_lists(lines: list[str], marks: list[str], out: list[str], rows: list[int]) -> None:
+def _link_lists(lines: list[str], known: list[Line], out: list[str], rows: list[int]) -> None:
     """Undecided lines right under the heading of a link list belong to the list, as long as they keep its bullets
     and look like headlines: no closing mark, no field name before a colon."""
     inside, style, count = False, "", 0
     for i in rows:
-        if marks[i] == LINKS:
+        if known[i].mark == LINKS:
             inside, style, count = True, "", 0
         elif inside and out[i] == OPEN:
-            own, s = _style(lines[i]), strip_marks(lines[i])
+            own, s = _style(lines[i]), known[i].text
             if count and own != style or own in ("•", "*", "·", "-", "–", "—", ")") or s[-1:] in "?!" or _FIELD.match(s):
                 inside = False
                 continue
@@ -267,14 +306,14 @@ def _link_lists(lines: list[str], marks: list[str], out: list[str], rows: list[i
             inside = False
 
 
-def _neighbours(lines: list[str], out: list[str], rows: list[int], top: int, links: set[int]) -> None:
+def _neighbours(known: list[Line], out: list[str], rows: list[int], top: int, links: set[int]) -> None:
     """Undecided lines take the label of the nearest decided lines above and below; where those differ, one or two
     words follow the frame, more the main body. Advertising, link lists and link lines stand inside the body too and so
     don't count as decided; whatever stands above the headline is frame."""
     n = len(rows)
     decided: list[str | None] = []
     for i in rows:
-        inside = out[i] in (OPEN, LINKS) or i in links or out[i] == FRAME and _INTERRUPTS.match(strip_marks(lines[i]).casefold())
+        inside = out[i] in (OPEN, LINKS) or i in links or out[i] == FRAME and known[i].inside
         decided.append(None if inside else out[i])
     back: list[str | None] = [None] * n
     ahead: list[str | None] = [None] * n
@@ -290,7 +329,7 @@ def _neighbours(lines: list[str], out: list[str], rows: list[int], top: int, lin
         i = rows[k]
         if out[i] != OPEN:
             continue
-        words = len(strip_marks(lines[i]).split())
+        words = known[i].n_words
         if i < top:
             out[i] = FRAME
         elif back[k] == ahead[k] and back[k]:

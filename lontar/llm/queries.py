@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .oracles import ORACLES  # noqa: F401
 
 TITLES = ("content_title", "raw_title")
+SITE = ("domain", "canonical_url")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,7 +101,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of url_discovery that hold residue and no content."""
     from .residue import residue_records
 
-    return residue_records(_table(spark, sf_dir, "url_discovery"), "record_id", "content_text", TITLES)
+    return residue_records(_table(spark, sf_dir, "url_discovery"), "record_id", "content_text", TITLES, SITE)
 
 
 def _near(spark: SparkSession, sf_dir: str):
@@ -127,7 +128,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of url_discovery.content_text outside the main body."""
     from .main_body import frame_lines
 
-    return frame_lines(_table(spark, sf_dir, "url_discovery"), "record_id", "content_text", TITLES)
+    return frame_lines(_table(spark, sf_dir, "url_discovery"), "record_id", "content_text", TITLES, SITE)
 
 
 def p6_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Problem 4: records that hold template residue, filler, an error message or a script notice and no content.
 
-Lines decide first: `line_kind` tells placeholders, filler and messages from sentences. A record is trusted residue if
-its body has an unfilled placeholder, or residue lines and no sentence; a long line is read piece by piece. Wordings
-that the line rules don't know are found by likeness: each record has as cores all its lines outside the frame and its
+Two kinds of evidence give trusted labels. Lines: `line_kind` tells placeholders, filler and messages from sentences, and
+a record is trusted residue if its body has an unfilled placeholder, or residue lines and no sentence; a long line is
+read piece by piece. Repetition: a short body, nearly without names, all of whose lines stand in such bodies under several
+different headlines is no page's content, whatever its wording; lines and headlines are counted over all records.
+Wordings that neither knows are found by likeness: each record has as cores all its lines outside the frame and its
 sentences and residue lines alone, both without numbers and names. Cores are sets of five-word shingles, whose rarest elements
 bring together all pairs of Jaccard similarity 0.8 or more (pigeonhole.py), pairs are verified by Hamming distance on a
 sketch and by the similarity of the sets, and a component that holds a seed, a trusted record without any sentence, is
@@ -26,6 +28,9 @@ from .shared import stored
 
 #: Words of a shingle, and the least Jaccard similarity of a link, in thousandths.
 SHINGLE, SIMILARITY = 5, 800
+#: A body of up to BRIEF words, one in NAMES of them a name at most, is nobody's content if all its lines stand in such
+#: bodies under HEADLINES different headlines or more.
+BRIEF, NAMES, HEADLINES = 40, 5, 3
 
 # Forms of unfilled placeholders in common template languages. A single brace counts only with a filter.
 _PLACEHOLDER = re.compile(
@@ -35,8 +40,8 @@ _PLACEHOLDER = re.compile(
     r"|\b[a-z]+(?:[_.][a-z]+)* DI SINI\b"
 )
 
-#: What every placeholder has one of.
-_OPENS = re.compile(r"[{\[<%@&]|__|DI SINI")
+# What every placeholder has one of.
+_OPENS = ("{", "[", "<", "%", "@", "&", "__", "DI SINI")
 
 # Words of the usual filler text.
 _LOREM = frozenset(
@@ -76,22 +81,34 @@ LINE = 160
 _PIECE = re.compile(r"(?<=[.!?…])\s+|\s*[|»•·\t]\s*|\s{2,}")
 _DRAFT = re.compile(r"\s*\(\d+\)\s+draf\b.*$")
 _TOKEN = re.compile(r"[^\W_]+")
+_DIGIT = re.compile(r"\d")
+_STOP, _OPENING = re.compile(r"[.!?]\s"), re.compile(r"[.!?]\s+(\w+)")
 
 
-def line_kind(line: str, mark: str) -> str:
+def line_kind(line: str, mark: str, messages: bool = True) -> str:
     """placeholder, residue, sentence or other, for a line outside the frame; mark: its pass-1 label."""
     s = B.strip_marks(line)
-    if any(_OPENS.search(x) and _PLACEHOLDER.search(x) for x in (s, line)):
+    return kind_of(line, s, mark, line_words(s)[0], messages)
+
+
+def kind_of(line: str, s: str, mark: str, words: list[str], messages: bool = True) -> str:
+    """line_kind() of a line with its strip_marks() and the words of line_words(); messages: whether the list of message
+    forms takes part."""
+    if has_placeholder(line, s):
         return "placeholder"
-    low = (_DRAFT.sub("", s) if "draf" in s else s).casefold()
-    if _MESSAGE.match(low) if len(low) <= LINE else _only_messages(s):
-        return "residue"
-    tokens = _TOKEN.findall(low)
-    if len(tokens) >= 5 and sum(t in _LOREM for t in tokens) >= 0.7 * len(tokens):
+    if messages:
+        low = (_DRAFT.sub("", s) if "draf" in s else s).casefold()
+        if _MESSAGE.match(low) if len(low) <= LINE else _only_messages(s):
+            return "residue"
+    if len(words) >= 5 and sum(t in _LOREM for t in " ".join(words).lower().split()) >= 0.7 * len(words):
         return "residue"
     return "sentence" if mark == B.MAIN else "other"
 
 
+def has_placeholder(line: str, s: str) -> bool:
+    return any(x in line for x in _OPENS) and bool(_PLACEHOLDER.search(s) or _PLACEHOLDER.search(line))
+
+
 def _only_messages(line: str) -> bool:
     """Whether the pieces of a line have a message and no sentence."""
     found = False
@@ -105,23 +122,76 @@ def _only_messages(line: str) -> bool:
     return found
 
 
-def line_words(line: str) -> tuple[list[str], list[str]]:
-    """The words of a line without numbers and codes; and of those the ones that are no names (capital inside a line)."""
-    s = B.strip_marks(line)
-    tokens = _TOKEN.findall(_DRAFT.sub("", s) if "draf" in s else s)
-    every = [t for t in tokens if t.isalpha() or not any(c.isdigit() for c in t)]
-    plain = [t for t in every if not t[0].isupper()]
-    return every, every[:1] + plain if every and every[0] is tokens[0] and every[0][0].isupper() else plain
+def line_words(s: str) -> tuple[list[str], list[str]]:
+    """The words of a line of strip_marks() without numbers and codes; and of those the ones that are no names. A name has
+    a capital and small letters inside a sentence; the first word of one says nothing."""
+    if "draf" in s:
+        s = _DRAFT.sub("", s)
+    every = _TOKEN.findall(s)
+    if _DIGIT.search(s):
+        every = [t for t in every if t.isalpha() or not _DIGIT.search(t)]
+    if not every:
+        return every, every
+    first = [m.group(1) for m in _OPENING.finditer(s)] if _STOP.search(s) else ()
+    plain = [t for t in every if not t.istitle() or t in first]
+    return every, plain if not plain or every[0] == plain[0] else [every[0], *plain]
+
+
+def core_of(lines: list[tuple[str, list[str], list[str]]]) -> str:
+    """Lower-case words of the lines (strip_marks() and line_words() of each), without names unless that leaves less than
+    a shingle."""
+    plain = [t for _, _, words in lines for t in words]
+    return " ".join(plain if len(plain) >= SHINGLE else [t for _, words, _ in lines for t in words]).lower()
+
+
+def brief_body(lines: list[tuple[str, list[str], list[str]]], site: str) -> list[int] | None:
+    """Hashes of the lines, without numbers, codes and names, of a body of up to BRIEF words of which few are names; None
+    for any other. lines: strip_marks() and line_words() of each; site: the site's name, whose words don't count."""
+    import xxhash
+
+    n = names = 0
+    out = set()
+    for s, every, plain in lines:
+        tokens = _TOKEN.findall(_DRAFT.sub("", s) if "draf" in s else s)
+        own = _site_words([t.lower() for t in tokens], site) if site else 0
+        n += len(tokens) - own
+        names += len(tokens) - len(plain) - own
+        x = " ".join(plain or every).lower()
+        if x:
+            out.add(xxhash.xxh64_intdigest(x) - 2**63)
+    return sorted(out) if out and n <= BRIEF and names * NAMES <= n else None
+
+
+def _site_words(low: list[str], site: str) -> int:
+    """Words of the longest run that spells the site's name."""
+    best = 0
+    for i in range(len(low)):
+        text = ""
+        for j in range(i, len(low)):
+            text += low[j]
+            if not site.startswith(text):
+                break
+            if text == site:
+                best = max(best, j + 1 - i)
+    return best
 
 
-def core_of(lines: list[tuple[list[str], list[str]]]) -> str:
-    """Lower-case words of the lines of line_words(), without names unless that leaves less than a shingle."""
-    plain = [t for _, words in lines for t in words]
-    return " ".join(plain if len(plain) >= SHINGLE else [t for words, _ in lines for t in words]).lower()
+def repeated_bodies(pages: DataFrame) -> DataFrame:
+    """The values of `brief` all of whose lines stand alone under HEADLINES different headlines or more."""
+    own = pages.where("brief IS NOT NULL")
+    seen = own.where("head IS NOT NULL").select("head", F.explode("brief").alias("line")).distinct()
+    common = seen.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HEADLINES).select("line")
+    each = own.select("brief").distinct().select("brief", F.explode("brief").alias("line")).join(common, "line")
+    return each.groupBy("brief").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == F.size("brief")).select("brief")
 
 
 def propagate(pages: DataFrame) -> DataFrame:
-    """Ids of all residue records. pages: id, trusted, seed (boolean), cores (array of strings)."""
+    """Ids of all residue records. pages: id, trusted, seed (boolean), brief, head, cores (array of strings)."""
+    bad = repeated_bodies(pages).withColumn("bare", F.lit(True))
+    pages = stored(
+        pages.join(bad, "brief", "left").select("id", (F.col("trusted") | F.coalesce("bare", F.lit(False))).alias("trusted"), (F.col("seed") | F.coalesce("bare", F.lit(False))).alias("seed"), "cores"),
+        "trusted",
+    )
     known = pages.where("trusted").select("id")
     each = pages.select("seed", F.explode("cores").alias("core"))
     cores = stored(each.groupBy(F.xxhash64("core").alias("node")).agg(F.max("seed").alias("seed"), F.min("core").alias("core")), "cores")
@@ -176,14 +246,20 @@ def _core_shingles(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(h[new].view(np.int64)))], names=["id", "items"])
 
 
-def residue_records(df: DataFrame, id_col: str = "record_id", text_col: str = "content_text", title_cols: tuple[str, ...] = ()) -> DataFrame:
-    """The ids of the records that hold residue and no content, in the column id_col."""
+def residue_records(
+    df: DataFrame, id_col: str = "record_id", text_col: str = "content_text", title_cols: tuple[str, ...] = (), site_cols: tuple[str, str] | None = None, messages: bool = True,
+) -> DataFrame:
+    """The ids of the records that hold residue and no content, in the column id_col. title_cols: headlines of the record;
+    site_cols: its domain and URL, which tell the site's name in messages; messages: whether the list of message forms
+    gives trusted labels besides placeholders, filler words and repetition."""
     from .main_body import scan_pages
 
-    pages = stored(scan_pages(df, id_col, text_col, title_cols).select("id", "trusted", "seed", "cores"), "pages")
+    pages = stored(scan_pages(df, id_col, text_col, title_cols, site_cols=site_cols, messages=messages).drop("frame_lines"), "pages")
     return propagate(pages).select(F.col("id").alias(id_col))
 
 
-def without_residue(df: DataFrame, id_col: str = "record_id", text_col: str = "content_text", title_cols: tuple[str, ...] = ()) -> DataFrame:
+def without_residue(
+    df: DataFrame, id_col: str = "record_id", text_col: str = "content_text", title_cols: tuple[str, ...] = (), site_cols: tuple[str, str] | None = None,
+) -> DataFrame:
     """df without its residue records; records with a null id stay."""
-    return df.join(residue_records(df, id_col, text_col, title_cols).distinct(), id_col, "left_anti")
+    return df.join(residue_records(df, id_col, text_col, title_cols, site_cols).distinct(), id_col, "left_anti")

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from lontar.llm import blocks as B
-from lontar.llm.main_body import frame_lines, main_bodies, page
+from lontar.llm.main_body import frame_lines, main_bodies, read_page
 from lontar.llm.residue import _near_cores, line_kind, residue_records, without_residue
 
 PAGE = """Beranda | Berita | Video | Cari
@@ -30,13 +30,14 @@ MAIN = {3, 7, 9, 10, 11, 13}
 
 
 def test_main_body_of_a_page():
-    frame, trusted, _, main = page(PAGE, ("Panel Surya Menyala di Desa Sera",))
+    page = read_page(PAGE, ("Panel Surya Menyala di Desa Sera",))
+    frame, trusted, main = page.frame, page.trusted, page.main
     assert set(frame) == set(range(1, 21)) - MAIN and not trusted
     assert main.split("\n") == [PAGE.split("\n")[k - 1] for k in sorted(MAIN)]
 
 
 def test_headline_without_a_title():
-    assert 3 not in page(PAGE)[0]
+    assert 3 not in read_page(PAGE).frame
 
 
 @pytest.mark.parametrize(
@@ -145,3 +146,16 @@ def test_filled_copies_of_an_article_stay(spark):
     text = "Warga desa menyambut panel surya yang dipasang sejak Januari dengan harga %s per bulan, karena lampu tidak padam lagi."
     got = [r["record_id"] for r in residue_records(records(spark, [(1, text % "${harga}"), (2, text % "Rp12.000"), (3, ARTICLE + "\n" + text % "Rp9.000")])).collect()]
     assert got == [1]
+
+
+def test_repeated_bodies_without_any_message_list(spark):
+    """Unknown wordings, told by standing alone under different headlines; an article that is published again stays."""
+    notice, filler = "The lamp is out at {0}, come back tomorrow.\nTicket {1}", "write your words in this box"
+    article = "Warga Desa Sera menyambut panel surya yang dipasang Pak Budi sejak Januari, kata Bu Rini."
+    shape = "record_id bigint, content_text string, content_title string, domain string, canonical_url string"
+    rows = [(k, notice.format("Media Sera", k * 7919), f"Judul nomor {'abcdefg'[k]}", "mediasera.example", f"https://mediasera.example/{k}") for k in range(3)]
+    rows += [(3, notice.format("Kabar Tulo", "e02267ee4ecf"), "Kabar yang lain", "kabartulo.example", None), (4, "The lamp is out at Kabar Tulo, come back tomorrow.", "Satu lagi", "kabartulo.example", None)]
+    rows += [(10 + k, filler, "Judul sama", "a.example", None) for k in range(4)]  # one headline only
+    rows += [(20 + k, article, f"Warga {'pqrs'[k]} menyambut", "b.example", None) for k in range(4)]  # many names
+    got = residue_records(spark.createDataFrame(rows, shape), title_cols=("content_title",), site_cols=("domain", "canonical_url"), messages=False)
+    assert sorted(r["record_id"] for r in got.collect()) == [0, 1, 2, 3, 4]
