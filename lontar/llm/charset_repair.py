@@ -25,7 +25,6 @@ from ..runtime import ship
 # Legacy encodings in which UTF-8 is read by mistake, the most frequent first.
 SINGLE_BYTE = ("cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "cp852", "cp866", "iso8859_2", "iso8859_15", "koi8_r", "cp1254", "cp1257")
 MULTI_BYTE = ("gb18030", "big5", "shift_jis", "euc_kr")
-ROUNDS = 3
 
 _WELL_FORMED = re.compile(
     rb"(?:[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}|\xED[\x80-\x9F][\x80-\xBF]"
@@ -35,6 +34,13 @@ _FOREIGN = re.compile("[^\x00-\x7f]+")
 _NOT_READ = "�"
 
 
+class _Bytes(dict):
+    """For str.translate(): characters that the encoding lacks become 0, which breaks spans."""
+
+    def __missing__(self, key: int) -> int:
+        return 0
+
+
 @lru_cache(maxsize=None)
 def _bytes_of(encoding: str) -> dict[int, int]:
     """Code point to byte of a single-byte encoding; bytes that it leaves open stand for the control of that number."""
@@ -47,7 +53,15 @@ def _bytes_of(encoding: str) -> dict[int, int]:
         table[ord(c)] = b
     for b in range(128, 160):
         table.setdefault(b, b)
-    return table
+    return _Bytes(table)
+
+
+@lru_cache(maxsize=None)
+def _spans_in(encoding: str) -> re.Pattern[str]:
+    """What every well-formed span has: a leading byte before a continuing one, as characters of the encoding."""
+    table = _bytes_of(encoding)
+    lead, rest = ("".join(re.escape(chr(c)) for c, b in table.items() if low <= b <= high) for low, high in ((0xC2, 0xF4), (0x80, 0xBF)))
+    return re.compile(f"[{lead}][{rest}]")
 
 
 # Blocks of code points that text of the web has beyond two UTF-8 bytes, first and last.
@@ -137,8 +151,7 @@ def _enough(part: str) -> bool:
 
 def _single(run: str, encoding: str, before: str = "") -> tuple[str, int, int, float]:
     """The run with its spans decoded, the characters in spans, those that the encoding has, and the spans' weight."""
-    table = _bytes_of(encoding)
-    raw = bytes(table.get(ord(c), 0) for c in run)  # 0 breaks spans
+    raw = run.translate(_bytes_of(encoding)).encode("latin-1")
     spans = _decode_spans(raw, run, before)
     if not spans:
         return run, 0, sum(b > 0 for b in raw), 0.0
@@ -204,12 +217,14 @@ def _fits(raw: bytes, lost: int) -> bool:
 def repair(text: str) -> tuple[str, list[str], int]:
     """(text with its wrongly decoded spans restored, encodings undone in their order, characters in spans)."""
     undone, changed = [], 0
-    for _ in range(ROUNDS):
+    seen = set()
+    while text not in seen:
+        seen.add(text)
         runs = [(m.group(), text[max(0, m.start() - 2) : m.start()]) for m in _FOREIGN.finditer(text)]
         if not runs:
             break
         best = ("", 0, 0.0)
-        for encoding in (*SINGLE_BYTE, *MULTI_BYTE):
+        for encoding in (*(e for e in SINGLE_BYTE if _spans_in(e).search(text)), *MULTI_BYTE):
             hit, weight = 0, 0.0
             for r, before in runs:
                 _, h, _, w = (_multi if encoding in MULTI_BYTE else _single)(r, encoding, before)
@@ -231,7 +246,7 @@ def repaired(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """id_col, restored (the text with all that can be restored), encodings array<string>, spans (characters of wrongly
     decoded spans), lost (replacement characters), for the rows with any of them."""
     ship(df.sparkSession)
-    own = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
+    own = df.select(df[id_col].alias("id"), df[text_col].alias("text")).where(F.col("text").rlike("[^\\x00-\\x7f]"))
     kind = own.schema["id"].dataType.simpleString()
     return own.mapInArrow(_batches, f"id {kind}, restored string, encodings array<string>, spans int, lost int").withColumnRenamed("id", id_col)
 

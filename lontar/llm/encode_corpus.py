@@ -27,6 +27,8 @@ TOKENIZERS = "/opt/tokenizers"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters of a piece. Texts up to two pieces are encoded at once.
 PIECE = 100_000
+#: Neighbouring parts that one task joins at each level of the tree; bytes that a text can have at all.
+FANOUT, LONGEST = 32, 2**31
 
 
 class Encoder:
@@ -187,8 +189,12 @@ def encoded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     copies = pieces.groupBy("doc").agg(F.min("id").alias("id"), F.min("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     cuts = copies.mapInArrow(_cut_batches(piece), f"doc string, id {kind}, copies long, k int, inside boolean, text string")
     parts = cuts.repartition("doc", "k").mapInArrow(_encode_pieces(ranks), f"doc string, id {kind}, copies long, k int, inside boolean, ids array<int>")
-    joined = parts.groupBy("doc", "id", "copies").applyInArrow(_concat_group(ranks), f"id {kind}, copies long, ids array<int>")
-    long = joined.select("id", "ids", F.explode(F.sequence(F.lit(1), "copies")).alias("c")).drop("c")
+    # levels enough for any text; where no text is long the shuffles are empty
+    left = LONGEST // piece + 1
+    while left > 1:
+        parts = parts.groupBy("doc", "id", "copies", F.floor(F.col("k") / FANOUT).cast("int").alias("at")).applyInArrow(_concat_group(ranks), parts.schema)
+        left = -(-left // FANOUT)
+    long = parts.select("id", "ids", F.explode(F.sequence(F.lit(1), "copies")).alias("c")).drop("c")
     return short.unionByName(long).select(F.col("id").alias(id_col), "ids")
 
 
@@ -238,8 +244,11 @@ def _concat_group(ranks):
 
         table = table.sort_by("k")
         enc = _encoder(ranks)
-        ids = concat(enc, list(zip(table.column("ids").to_pylist(), table.column("inside").to_pylist(), strict=True)))
-        return pa.table({"id": table.column("id").slice(0, 1), "copies": table.column("copies").slice(0, 1), "ids": pa.array([ids], pa.list_(pa.int32()))})
+        inside = table.column("inside").to_pylist()
+        ids = concat(enc, list(zip(table.column("ids").to_pylist(), inside, strict=True)))
+        head = table.slice(0, 1)
+        at = pa.array([head.column("k")[0].as_py() // FANOUT], pa.int32())
+        return pa.table({**{c: head.column(c) for c in ("doc", "id", "copies")}, "k": at, "inside": pa.array(inside[:1]), "ids": pa.array([ids], pa.list_(pa.int32()))})
 
     return run
 

@@ -3,7 +3,8 @@
 Method: one Aho-Corasick automaton over the normalised passages. Each item's runs of `run` words are its patterns, all
 patterns go into one automaton, and every text is scanned once; matches are merged into passages and mapped to the
 offsets of the original text. Item texts are sent to the executors in blocks of bounded size, one automaton each, so a
-benchmark of any size fits; one block holds all items of usual benchmarks.
+benchmark of any size fits; one block holds all items of usual benchmarks. All automata pass over the texts that a task
+holds, so that the corpus is read once.
 
 Cases: items with fewer words, null or empty ones have no patterns; null texts have no matches; repeated documents come
 out as often as they go in, repeated items once; an item and a document match once however often a passage occurs.
@@ -24,31 +25,30 @@ BLOCK_WORDS = 200_000
 _WORD = re.compile("[a-z0-9]+")
 
 
-def item_blocks(items: DataFrame, item_id: str, text_col: str, limit: int = BLOCK_WORDS) -> list[list[tuple]]:
-    """The items' ids and words on the driver, in blocks of limited size; the items stream through, block by block."""
-    blocks, block, size = [], [], 0
+def item_blocks(items: DataFrame, item_id: str, text_col: str, limit: int = BLOCK_WORDS) -> Iterator[list[tuple]]:
+    """The items' ids and words in blocks of limited size; the driver holds one block at a time."""
+    block, size = [], 0
     own = items.where(items[item_id].isNotNull() & items[text_col].isNotNull()).select(items[item_id].alias("i"), items[text_col].alias("t")).distinct()
     for r in own.orderBy("i", "t").toLocalIterator():
         words = _WORD.findall(r["t"].lower())
         if size and size + len(words) > limit:
-            blocks.append(block)
+            yield block
             block, size = [], 0
         block.append((r["i"], words))
         size += len(words)
-    return [*blocks, block] if block else blocks
+    if block:
+        yield block
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", run: int = 12, limit: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, item_id, passages: array of (start, end, words) - characters of the original text from 0, end excluded."""
+    """doc_id, item_id, passages: array of (start, end, words) - characters of the original text from 0, end excluded.
+    The corpus is read once, whatever the number of blocks."""
     spark = ship(docs.sparkSession)
-    source = docs.select(docs[doc_id].alias("d"), docs[doc_text].alias("t"))
+    source = docs.select(docs[doc_id].alias("d"), docs[doc_text].alias("t")).where("t IS NOT NULL")
     d, i = source.schema["d"].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     shape = f"{doc_id} {d}, {item_id} {i}, passages array<struct<start: int, end: int, words: int>>"
-    out = None
-    for block in item_blocks(items, item_id, item_text, limit):
-        part = source.mapInArrow(_scan(spark.sparkContext.broadcast(block), run, doc_id, item_id, i), shape)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], shape)
+    blocks = [spark.sparkContext.broadcast(block) for block in item_blocks(items, item_id, item_text, limit)]
+    return source.mapInArrow(_scan(blocks, run, doc_id, item_id, i), shape) if blocks else spark.createDataFrame([], shape)
 
 
 def automaton(block: list[tuple], run: int):
@@ -112,27 +112,56 @@ def word_spans(text: str) -> list[tuple[int, int]]:
     return [(origin[m.start()], origin[m.end() - 1] + 1) for m in _WORD.finditer(low)]
 
 
-def _scan(block, run: int, doc_id: str, item_id: str, item_type: str):
+#: Bytes of text that a task holds while all automata pass over it; automata that a Python worker keeps.
+HELD, KEPT = 64_000_000, 2
+_automata: dict = {}
+
+
+def _automaton(block, run: int):
+    """The automaton of a broadcast block, kept for the next tasks of the worker; and the ids of its items."""
+    key = (id(block), run)  # of the worker's own broadcast, which the entry holds
+    if key not in _automata:
+        while len(_automata) >= KEPT:
+            del _automata[next(iter(_automata))]
+        _automata[key] = (automaton(block.value, run), [i for i, _ in block.value], block)
+    return _automata[key][:2]
+
+
+def _held(batches: Iterator) -> Iterator:
+    """Batches together, up to HELD bytes."""
+    own, size = [], 0
+    for batch in batches:
+        own.append(batch)
+        size += batch.nbytes
+        if size >= HELD:
+            yield own
+            own, size = [], 0
+    if own:
+        yield own
+
+
+def _scan(blocks: list, run: int, doc_id: str, item_id: str, item_type: str):
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        a = automaton(block.value, run)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32())]))
         item_kind = {"bigint": pa.int64(), "int": pa.int32()}.get(item_type, pa.string())
-        for batch in batches:
-            if a is None:
-                continue
-            rows, own, found = [], [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                if text:
-                    merged: dict = {}
-                    for n, passages in passages_of(text, a, run).items():
-                        merged.setdefault(block.value[n][0], []).extend(passages)
-                    for item, passages in merged.items():
-                        rows.append(k)
-                        own.append(item)
-                        found.append([{"start": s, "end": e, "words": w} for s, e, w in sorted(set(passages))])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(own, item_kind), pa.array(found, kind)], names=[doc_id, item_id, "passages"])
+        for held in _held(batches):
+            found: dict = {}
+            for block in blocks:
+                a, ids = _automaton(block, run)
+                if a is None:
+                    continue
+                for b, batch in enumerate(held):
+                    for k, text in enumerate(batch.column(1).to_pylist()):
+                        for n, passages in passages_of(text, a, run).items():
+                            found.setdefault((b, k, ids[n]), []).extend(passages)
+            rows: dict[int, list] = {}
+            for (b, k, item), passages in found.items():
+                rows.setdefault(b, []).append((k, item, [{"start": s, "end": e, "words": w} for s, e, w in sorted(set(passages))]))
+            for b, own in rows.items():
+                k, item, passages = zip(*own, strict=True)
+                yield pa.RecordBatch.from_arrays([held[b].column(0).take(pa.array(k, pa.int64())), pa.array(item, item_kind), pa.array(passages, kind)], names=[doc_id, item_id, "passages"])
 
     return scan
 

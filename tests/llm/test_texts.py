@@ -156,3 +156,20 @@ def test_han_and_hangul_read_in_two_byte_encodings():
 @pytest.mark.parametrize("text", ["CAFÉ® dan “MENÚ”", "É… voilà\xa0…", "2 ×\xa03 «École»", "–£5 dan —Écoute", "中国人民 태양광 발전소", "ОАО «МИР» и солнце"])
 def test_ordinary_text_stays(text):
     assert repair(text) == (text, [], 0)
+
+
+def test_long_text_by_levels_of_the_tree(spark, enc):
+    """A text of more pieces than one task joins, through the distributed path."""
+    rng = random.Random(8)
+    text = "".join(rng.choice(["panel surya ", "a" * 40, "1234567", "  \n", "…“”", "漢字かな", "x'll "]) for _ in range(9000))
+    df = spark.createDataFrame([(1, text), (2, "pendek"), (3, text + "z")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["ids"] for r in encoded(df, piece=1000).collect()}
+    assert len(text) > 40 * 1000 and all(got[k] == enc.encode(t) for k, t in ((1, text), (2, "pendek"), (3, text + "z")))
+
+
+@pytest.mark.parametrize("times", [1, 3, 4, 6])
+def test_text_decoded_wrongly_many_times(times):
+    text = own = "Kata “panel” dan “surya” – héßö"
+    for _ in range(times):
+        text = text.encode().decode("latin-1")
+    assert repair(text)[0] == own
