@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import EMBEDDING_DIM, LABELS
-from .text import tokens
+from .text import let, tokens
 
 
 def number(c: Column, default: float = 0.0) -> Column:
@@ -68,16 +68,19 @@ def cosine(a: Column, b: Column) -> Column:
 
 def md5_embedding(text: Column, dim: int = EMBEDDING_DIM) -> Column:
     """Signed bag of words of `dim` places, of length 1, rounded to 6 digits; places and signs come from md5."""
-    places = F.transform(
+    # twice the place, and one more for a negative sign
+    signed = F.transform(
         tokens(F.coalesce(text, F.lit(""))),
-        lambda t: F.struct(
-            (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % dim).cast("int").alias("i"),
-            F.when(F.conv(F.substring(F.md5(t), 9, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0).alias("s"),
-        ),
+        lambda t: ((F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % dim) * 2 + F.conv(F.substring(F.md5(t), 9, 2), 16, 10).cast("int") % 2).cast("int"),
     )
-    raw = F.aggregate(places, F.array_repeat(F.lit(0.0), dim), lambda acc, p: F.transform(acc, lambda x, k: F.when(k == p["i"], x + p["s"]).otherwise(x)))
-    norm = F.sqrt(dot(raw, raw))
-    return F.when(norm > 0, F.transform(raw, lambda x: F.round(x / norm, 6))).otherwise(raw)
+
+    def counted(own: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: (F.size(F.filter(own, lambda x: x == k * 2)) - F.size(F.filter(own, lambda x: x == k * 2 + 1))).cast("double"))
+
+    def scaled(raw: Column) -> Column:
+        return let(F.sqrt(dot(raw, raw)), lambda norm: F.when(norm > 0, F.transform(raw, lambda x: F.round(x / norm, 6))).otherwise(raw))
+
+    return let(let(signed, counted), scaled)
 
 
 def hash_embedding(dim: int = EMBEDDING_DIM):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +25,18 @@ def collapse(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"\s+", " "))
 
 
+def nfkc(c: Column) -> Column:
+    """Unicode's compatibility form in lower case without regard to script (case folding), white space collapsed. Texts in
+    ASCII stay in the JVM; of the others Python sees each batch once."""
+    import unicodedata
+
+    @F.pandas_udf("string")
+    def fold(values: pd.Series) -> pd.Series:
+        return values.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()))
+
+    return F.coalesce(fold(F.when(c.rlike("[^\\x00-\\x7f]"), c)), collapse(F.lower(c)))
+
+
 def is_filled(c: Column) -> Column:
     return F.coalesce(F.length(strip(c)) > 0, F.lit(False))
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import LABEL_IDS, LABELS, PROBABILITY_EPS, TEMPERATURE_GRID
 from ..functions.numeric import argmax_label, softmax
+from ..sources.readers import read_object
+from ..sources.sinks import save_json
 from .evaluate import probability_metrics
 
 
@@ -46,6 +49,19 @@ def fit_temperature(df: DataFrame, label: str, logits: Sequence[str], low: float
         df.unpersist()
 
 
+def save_temperature(found: Mapping[str, object], path: str | Path) -> Path:
+    """What fit_temperature() found, as a JSON file."""
+    return save_json(dict(found), path)
+
+
+def load_temperature(path: str | Path) -> float:
+    """The temperature of such a file; ValueError unless it is positive."""
+    value = float(read_object(path).get("temperature") or 0.0)
+    if value <= 0:
+        raise ValueError(f"{path}: the temperature must be positive")
+    return value
+
+
 def apply_temperature(df: DataFrame, logits: Sequence[str], temperature: float) -> DataFrame:
     """df with the probability columns of the scaled logits."""
     p = softmax([F.col(c) for c in logits], temperature)

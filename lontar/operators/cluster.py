@@ -28,53 +28,55 @@ def similarity_to_centroid(df: DataFrame, cluster: str, vector: str) -> DataFram
 
 def nearest(queries: DataFrame, base: DataFrame, id_col: str, vector: str, k: int) -> DataFrame:
     """The k nearest vectors of `base` for each query by cosine, without itself: queries, a stated set, are sent to all
-    tasks in blocks; each task keeps its own best k of each query, and only those are shuffled."""
+    tasks in blocks of which the driver holds one at a time; the base is read once, each task keeps the best k of each
+    query among the rows of a batch, and only those are shuffled."""
     import numpy as np
 
     spark = ship(base.sparkSession)
     q = queries.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("q"), F.col(vector).alias("v"))
-    block, out = [], None
+    blocks, block = [], []
     kind = base.schema[id_col].dataType.simpleString()
 
-    def part(rows: list) -> DataFrame:
-        ids = [r["q"] for r in rows]
+    def shared(rows: list):
         m = np.array([r["v"] for r in rows], dtype=np.float64)
         norms = np.linalg.norm(m, axis=1, keepdims=True)
-        shared = spark.sparkContext.broadcast((ids, np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)))
-        return base.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("b"), F.col(vector).alias("v")).mapInPandas(_best(shared, k), f"q {kind}, b {kind}, similarity double")
+        return spark.sparkContext.broadcast(([r["q"] for r in rows], np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)))
 
     for r in q.toLocalIterator():
         block.append(r)
         if len(block) == 2000:
-            out = part(block) if out is None else out.unionByName(part(block))
+            blocks.append(shared(block))
             block = []
     if block:
-        out = part(block) if out is None else out.unionByName(part(block))
-    if out is None:
+        blocks.append(shared(block))
+    if not blocks:
         return spark.createDataFrame([], f"q {kind}, b {kind}, similarity double, rank int")
+    out = base.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("b"), F.col(vector).alias("v")).mapInPandas(_best(blocks, k), f"q {kind}, b {kind}, similarity double")
     from .relational import top_n
 
     return top_n(out, [F.desc("similarity"), F.col("b")], k, ["q"])
 
 
-def _best(shared, k: int):
+def _best(blocks: list, k: int):
     def run(frames: Iterator) -> Iterator:
         import numpy as np
 
-        ids, m = shared.value
         for f in frames:
             if not len(f):
                 continue
             v = np.array(f["v"].tolist(), dtype=np.float64)
             norms = np.linalg.norm(v, axis=1, keepdims=True)
-            s = np.round(np.divide(v, norms, out=np.zeros_like(v), where=norms > 0) @ m.T, 6)
+            v = np.divide(v, norms, out=np.zeros_like(v), where=norms > 0)
             b = f["b"].to_numpy()
-            rows = []
-            for j, q in enumerate(ids):
-                col = np.where(b == q, -np.inf, s[:, j])
-                order = np.lexsort((b, -col))[: k]
-                rows += [(q, b[i], float(col[i])) for i in order if col[i] > -np.inf]
-            yield pd.DataFrame(rows, columns=["q", "b", "similarity"])
+            for shared in blocks:
+                ids, m = shared.value
+                s = np.round(v @ m.T, 6)
+                rows = []
+                for j, q in enumerate(ids):
+                    col = np.where(b == q, -np.inf, s[:, j])
+                    order = np.lexsort((b, -col))[:k]
+                    rows += [(q, b[i], float(col[i])) for i in order if col[i] > -np.inf]
+                yield pd.DataFrame(rows, columns=["q", "b", "similarity"])
 
     return run
 
@@ -113,16 +115,16 @@ def leader_assignments(vectors, threshold: float = CLUSTER_SIMILARITY) -> list[i
     return out
 
 
-def leader_clusters(df: DataFrame, id_col: str, vector: str, label: str, group: str | None = None, threshold: float = CLUSTER_SIMILARITY, smallest: int = MIN_CLUSTER) -> DataFrame:
+def leader_clusters(df: DataFrame, id_col: str, vector: str, label: str, group: str, threshold: float = CLUSTER_SIMILARITY, smallest: int = MIN_CLUSTER) -> DataFrame:
     """id, cluster_id (-1 for clusters below `smallest`), cluster_size, semantic_similarity, semantic_label.
 
-    The result depends on the order of all vectors, so one group is one task, ordered by id; pass a `group` column (a
-    topic, a source, a shard) to run groups in parallel. Cluster ids are numbered within each group.
+    The result depends on the order of all vectors of a group, so one group is one task, ordered by id: `group` names a
+    column whose groups a task can hold (a topic, a source, a shard). Cluster ids are numbered within each group.
     """
     ship(df.sparkSession)
 
     kind = df.schema[id_col].dataType.simpleString()
-    own = df.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), F.col(label).alias("label"), (F.col(group).cast("string") if group else F.lit("")).alias("g"))
+    own = df.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), F.col(label).alias("label"), F.coalesce(F.col(group).cast("string"), F.lit("")).alias("g"))
 
     def assign(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("id", kind="stable")
@@ -139,4 +141,4 @@ def leader_clusters(df: DataFrame, id_col: str, vector: str, label: str, group:
     mean = parts.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c"))
     out = keyed.join(mean, "k", "left").join(size, ["g", "cluster_id"]).join(ranked, ["g", "cluster_id"], "left")
     sim = F.when(F.col("c").isNull(), 0.0).otherwise(F.round(cosine(F.col("v"), F.col("c")), 4))
-    return out.select(F.col("id").alias(id_col), *([F.col("g").alias(group)] if group else []), "cluster_id", "cluster_size", sim.alias("semantic_similarity"), F.coalesce("semantic_label", F.lit("netral")).alias("semantic_label"))
+    return out.select(F.col("id").alias(id_col), F.col("g").alias(group), "cluster_id", "cluster_size", sim.alias("semantic_similarity"), F.coalesce("semantic_label", F.lit("netral")).alias("semantic_label"))

@@ -108,6 +108,39 @@ def notes(parts: Sequence[tuple[Column, str]], otherwise: str) -> Column:
     return F.when(F.size(hits) > 0, F.array_join(hits, "; ")).otherwise(otherwise)
 
 
+# What a source's type tells of its speaker, of the kind of statement and of its scope, and the words of a wish.
+SPEAKERS = {"academic_repository": "researcher", "government_official": "public_official", "corporate_official": "company_representative", "social_media": "public_user"}
+WISHES = ("harap", "dambakan", "ingin", "butuh")
+ROLES = {"A_candidate_core": ("candidate_analysis_ready", "core_public_opinion"), "B_review_queue": ("review_required_before_core", "contextual_evidence"), "C_holdout_excluded": ("held_out_not_for_sentiment_core", "excluded")}
+
+
+def speaker_type(source: Column) -> Column:
+    return ladder([(source == name, value) for name, value in SPEAKERS.items()], "community_representative")
+
+
+def subjectivity_type(text: Column, source: Column, tier: Column) -> Column:
+    return ladder([
+        (tier == "C_holdout_excluded", "contextual_source"), (source == "academic_repository", "researcher_assessment"),
+        (source.isin("government_official", "corporate_official"), "institutional_claim"), (contains_any(text, WISHES), "public_expectation"),
+    ], "public_experience")
+
+
+def opinion_scope(source: Column, tier: Column) -> Column:
+    return ladder([
+        (tier == "C_holdout_excluded", "contextual_reference"), (source == "academic_repository", "researcher_or_author_assessment"),
+        (source.isin("government_official", "corporate_official"), "stakeholder_opinion"),
+    ], "public_opinion")
+
+
+def with_roles(df: DataFrame) -> DataFrame:
+    """df (text, source_type, dataset_tier) with speaker, kind and scope of the statement, role and inclusion."""
+    tier, source = F.col("dataset_tier"), F.coalesce("source_type", F.lit(""))
+    return df.withColumns({
+        "speaker_type": speaker_type(source), "subjectivity_type": subjectivity_type(F.col("text"), source, tier), "public_opinion_scope": opinion_scope(source, tier),
+        "inclusion_status": ladder([(tier == name, status) for name, (status, _) in ROLES.items()], None), "corpus_role": ladder([(tier == name, role) for name, (_, role) in ROLES.items()], None),
+    })
+
+
 def candidate_rows(records: DataFrame, cfg: ResearchConfig) -> DataFrame:
     """Candidate columns of each record, row-local: merged text, aspect, location, source type, relevance, support and
     note. Ids are left to row_ids(), which needs a total order."""
@@ -125,13 +158,15 @@ def candidate_rows(records: DataFrame, cfg: ResearchConfig) -> DataFrame:
         "_place": first_place([("text", F.col("text")), ("query", F.coalesce("query", F.lit(""))), ("source_url", F.col("source_url"))], cfg.places),
     })
     usable = F.col("is_success") & ~F.col("is_excluded")
-    return df.withColumns({
+    df = df.withColumns({
         "location": F.col("_place.location"), "location_source": F.col("_place.source"), "location_match": F.col("_place.match"), "is_specific_location": F.col("_place.is_specific"),
         "dataset_tier": ladder([(~usable, "C_holdout_excluded"), (F.col("is_relevant") & ~F.col("is_social"), "A_candidate_core")], "B_review_queue"),
         "evidence_support_score": support_score([(F.col("is_success"), 0.35), (F.col("is_relevant"), 0.25), (F.col("_place.location") != "", 0.2), (F.length("text") >= 80, 0.1), (~F.col("is_social") & ~F.col("is_excluded"), 0.1)]),
         "decision_note": notes([(~F.col("is_success"), "content_not_success"), (~F.col("is_relevant"), "keyword_relevance_needs_review"), (F.col("is_social"), "social_domain_review"), (F.col("is_excluded"), "excluded_domain")], "candidate_from_raw_discovery"),
         "raw_text_length": F.coalesce("content_text_length", F.lit(0)),
+        "sentiment_label": F.lit(""), "label_status": F.lit("unlabeled"), "verification_status": F.lit("perlu_verifikasi"), "parent_text_id": F.lit(""),
     }).drop("_host", "_clean", "_place")
+    return with_roles(df)
 
 
 def classify_sources(df: DataFrame, rules: SourceRules, url: str = "source_url", title: str = "raw_title") -> DataFrame:

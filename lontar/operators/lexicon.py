@@ -214,6 +214,7 @@ class Engine:
         by_phrase, by_word = [h["term"] for h in phrase_hits], [h["term"] for h in word_hits]
         changed = list(dict.fromkeys(m for h in hits for m in h["modifiers"] if m))
         named = [f"{name}: {', '.join(terms)}" for name, terms in (("frasa", by_phrase), ("kata", by_word), ("modifier", changed)) if terms]
+        # The wording of the explanation.
         told = "Tidak ada rule sentimen yang dihitung." if status == "unknown" else (
             f"Label {label} ({status}) dari skor SO {score:.4f}; positif={positive:.4f}, negatif={negative:.4f}; {'; '.join(named) or 'tanpa evidence detail'}."
         )
@@ -222,6 +223,18 @@ class Engine:
         return dict(zip((c for c, _ in RULE_COLUMNS), values, strict=True))
 
 
+def evidence_payload(rules: Rules, reference: str = "") -> Column:
+    """The evidence of a scored row as JSON text: method, resource versions and scale of the rules, hits that count and
+    neutral words. Works on the columns of score_texts()."""
+    versions = F.create_map(*[F.lit(x) for part in rules.version.split(";") for x in (*part.split("=", 1), "")[:2]]) if rules.version else F.create_map().cast("map<string,string>")
+    neutral = F.filter(F.split("rule_neutral_hits", ", "), lambda x: x != "")
+    return F.to_json(F.struct(
+        F.lit("SO-CAL-inspired").alias("method"), F.lit(reference).alias("method_reference"), F.col("rule_resource_version").alias("resource_version"), versions.alias("resource_versions"),
+        F.struct(F.lit(rules.max_abs).alias("max_abs")).alias("score_scale"), F.lit(rules.shift).alias("negation_shift"), F.lit(rules.negative_weight).alias("negative_weight"),
+        F.lit(rules.repetition).alias("repetition_weighting"), F.col("rule_evidence").alias("sentiment_hits"), neutral.alias("neutral_hits"),
+    ))
+
+
 def score_texts(df: DataFrame, text: str, rules: Rules | None = None, threshold: float = WEAK_THRESHOLD) -> DataFrame:
     """df with the 17 rule columns. Evidence stays an array of structs; to_json() makes it text at the edge."""
 
@@ -250,7 +263,8 @@ def _scored_words(t: Column, words: Mapping[str, tuple[str, float]], negative_we
     signed = {w: signs[label] * weight for w, (label, weight) in words.items() if label in signs and weight}
     names, values = F.lit(list(signed)), F.lit(list(signed.values()))
     # lexicon words of the text, equal ones together: the k-th of a word counts 1 / k
-    hits = F.array_sort(F.filter(F.transform(t, lambda x: F.array_position(names, x).cast("int")), lambda k: k > 0))
+    # one hash look-up tells which tokens are words of the lexicon; only those are placed in it
+    hits = F.array_sort(F.transform(F.filter(t, lambda x: x.isin(list(signed))), lambda x: F.array_position(names, x).cast("int")))
     start = F.struct(F.lit(0).alias("word"), F.lit(0).alias("k"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
 
     def add(acc: Column, word: Column) -> Column:

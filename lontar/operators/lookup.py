@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.match import count_phrase
-from ..functions.text import base_id, filled
+from ..functions.text import base_id, filled, let
 from .relational import keep_first
 
 
@@ -28,6 +29,23 @@ def place_name(name):
     return F.initcap(F.regexp_replace(F.regexp_replace(name, r"^\s+|\s+$", ""), r"^(?i:kabupaten|kab\.|kota|kecamatan)\s+", ""))
 
 
+def title_case(name: Column) -> Column:
+    """A capital wherever a letter follows none, small letters elsewhere: also after hyphens and marks, unlike initcap."""
+    low = F.lower(name)
+    pairs = F.arrays_zip(F.split(low, r"(?U)\p{L}+", -1).alias("gap"), F.regexp_extract_all(low, F.lit(r"(?U)(\p{L}+)"), F.lit(1)).alias("run"))
+    return F.array_join(F.transform(pairs, lambda z: F.concat(z["gap"], F.coalesce(F.initcap(z["run"]), F.lit("")))), "")
+
+
+def canonical_place(name: Column) -> Column:
+    """The name of a gazetteer entry: without a kind of area in capitals before it, in title case."""
+    return title_case(F.regexp_replace(F.regexp_replace(name, r"^\s+|\s+$", ""), r"^(?:KABUPATEN|KOTA|KECAMATAN)\s+", ""))
+
+
+def place_key(name: Column) -> Column:
+    """Letters and digits of the name in lower case, for comparison of spellings."""
+    return F.regexp_replace(F.lower(name), r"(?U)[^\p{L}\p{N}]+", "")
+
+
 def recover_metadata(rows: DataFrame, metadata: DataFrame, id_col: str, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
     """rows with the metadata of the same id, else of the same base id, the first by the order, and how it was found."""
     meta = metadata.where(filled(F.col(id_col)).isNotNull()).select(F.trim(id_col).alias("_id"), *columns, *[c for c in order if c not in columns])
@@ -57,9 +75,18 @@ def flag_listed(df: DataFrame, listed: DataFrame, key: str, flag: str) -> DataFr
 
 def term_counts(df: DataFrame, text: str, terms: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """keyword, frequency and document_frequency of phrases over the texts: row-local counts, then one aggregation of
-    partial sums. Terms are a dictionary, sent with the plan."""
-    pairs = F.array(*[F.struct(F.lit(t).alias("keyword"), count_phrase(F.col(text), t).alias("n")) for t in terms])
-    hits = df.select(*by, F.explode(F.filter(pairs, lambda p: p["n"] > 0)).alias("p")).select(*by, "p.*")
+    partial sums. Terms are a dictionary, sent with the plan. Single words are looked up among the words of the text, all
+    at once; only a term of several words is searched for, where the text has its characters at all."""
+    single = sorted({t for t in terms if re.fullmatch(r"\w+", t)})
+    none = F.array().cast("array<struct<keyword:string,n:int>>")
+
+    def counted(words: Column) -> Column:
+        return F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("keyword"), F.size(F.filter(words, lambda x: x == w)).alias("n")))
+
+    words = F.filter(F.split(F.col(text), r"(?U)[^\w]+"), lambda w: w.isin(single)) if single else F.array().cast("array<string>")
+    several = [F.when(F.col(text).contains(t), F.struct(F.lit(t).alias("keyword"), count_phrase(F.col(text), t).cast("int").alias("n"))) for t in terms if t not in single]
+    phrases = F.filter(F.array_compact(F.array(*several)), lambda p: p["n"] > 0) if several else none
+    hits = df.select(*by, F.explode(F.concat(let(words, counted), phrases)).alias("p")).select(*by, "p.*")
     return hits.groupBy(*by, "keyword").agg(F.sum("n").alias("frequency"), F.count(F.lit(1)).alias("document_frequency"))
 
 

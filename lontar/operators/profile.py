@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import histogram_bin
 from ..functions.text import filled, is_filled, value_list
-from .relational import duplicate_count, unpivot_filled
+from .relational import unpivot_filled
 
 
 def distribution(df: DataFrame, *columns: str) -> DataFrame:
@@ -34,7 +34,8 @@ def quality(df: DataFrame, text: str, source: str) -> DataFrame:
         F.count_if(t.isNull()).alias("null_text"),
         F.count_if(t.isNotNull() & ~is_filled(t)).alias("empty_text"),
         F.count_if(~is_filled(F.col(source))).alias("empty_source"),
-        duplicate_count(df, (source, text)).alias("duplicates"),
+        # the text's 128-bit digest stands for it, so that no whole text is shuffled
+        (F.count(F.lit(1)) - F.count_distinct(F.struct(F.col(source).alias("s"), F.md5(t).alias("t")))).alias("duplicates"),
         F.coalesce(F.round(F.avg(F.length(t)), 2), F.lit(0.0)).alias("mean_length"),
     )
 
@@ -75,6 +76,19 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) ->
     return df.where(v.isNotNull()).groupBy(histogram_bin(v, low, high, bins).alias("bin")).agg(F.count(F.lit(1)).alias("jumlah"))
 
 
+def report_column(df: DataFrame, choices: Sequence[str], allowed: Sequence[str], empty: str) -> tuple[DataFrame, str]:
+    """(df with report_value, name of the column that it comes from): the first of the columns that has a value of the
+    domain at all; the last of them counts without one, its values outside the domain being `empty`. One aggregation
+    decides; without any of the columns all values are `empty`."""
+    have = [c for c in choices if c in df.columns]
+    if not have:
+        return df.withColumn("report_value", F.lit(empty)), empty
+    n = df.agg(*[F.count_if(F.col(c).isin(*allowed)).alias(f"n{k}") for k, c in enumerate(have)]).first()
+    chosen = next((c for k, c in enumerate(have[:-1]) if n[k]), have[-1])
+    value = F.coalesce(filled(F.col(chosen)), F.lit(empty)) if chosen != choices[-1] else F.when(F.col(chosen).isin(*allowed), F.col(chosen)).otherwise(empty)
+    return df.withColumn("report_value", value), chosen
+
+
 def gates(df: DataFrame, **bad: object) -> DataFrame:
     """One row with a boolean for each named condition: whether no row meets it."""
     return df.agg(*[(F.count_if(c) == 0).alias(name) for name, c in bad.items()])

@@ -43,6 +43,25 @@ def from_batches(df: DataFrame, text: str, predict: Callable[[Sequence[str]], Se
     return from_logits(scored, [f"_z{k}" for k in range(len(LABELS))], temperature).drop("_z", *[f"_z{k}" for k in range(len(LABELS))])
 
 
+def embed_batches(df: DataFrame, text: str, embed: Callable[[Sequence[str]], Sequence[Sequence[float]]], backend: str, column: str = "embedding", batch_size: int = 16) -> DataFrame:
+    """df with vectors of length 1, to six digits, from a function that gives one vector for each text of a batch, loaded once
+    for each task, and embedding_backend; a text without length has a vector of zeros."""
+
+    @F.pandas_udf("array<double>")
+    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import numpy as np
+
+        for texts in series:
+            values = []
+            for k in range(0, len(texts), batch_size):
+                v = np.asarray(embed([t or "" for t in texts.iloc[k : k + batch_size]]), dtype=float)
+                norm = np.linalg.norm(v, axis=1, keepdims=True)
+                values += np.round(np.divide(v, norm, out=np.zeros_like(v), where=norm > 0), 6).tolist()
+            yield pd.Series(values, index=texts.index)
+
+    return df.withColumn(column, run(F.col(text))).withColumn("embedding_backend", F.lit(backend))
+
+
 def parse_label(raw: Column) -> tuple[Column, Column]:
     """(first label in the answer or netral, whether there was one)."""
     hit = F.regexp_extract(F.lower(raw), r"\b(positif|negatif|netral)\b", 1)
@@ -51,7 +70,7 @@ def parse_label(raw: Column) -> tuple[Column, Column]:
 
 def adjudicate(df: DataFrame, text: str, ask: Callable[[Sequence[str]], Sequence[str]], flag: str = "requires_llm", longest: int = 2000) -> DataFrame:
     """Flagged rows with the answer's label as final_sentiment. Only filled texts of flagged rows reach `ask`, cut to
-    `longest` characters as its prompt allows; an answer without a label keeps the fused one."""
+    `longest` characters as its prompt allows; an answer without a label, and a blank text, make it netral."""
 
     @F.pandas_udf("string")
     def answer(texts: pd.Series) -> pd.Series:
@@ -66,6 +85,6 @@ def adjudicate(df: DataFrame, text: str, ask: Callable[[Sequence[str]], Sequence
     df = prompted.withColumn("llm_raw", answer(F.col("_prompt")))
     label, parsed = parse_label(F.col("llm_raw"))
     return df.withColumns({
-        "llm_label": F.when(F.col(flag), label), "final_sentiment": F.when(F.col(flag) & parsed, label).otherwise(F.col("final_sentiment")),
-        "decision_source": F.when(F.col(flag) & parsed, "llm").otherwise("fusion"),
+        "llm_label": F.when(F.col(flag), label), "final_sentiment": F.when(F.col(flag), label).otherwise(F.col("final_sentiment")),
+        "decision_source": F.when(F.col(flag), "llm").otherwise("fusion"), "llm_parsed": F.when(F.col(flag), parsed),
     }).drop("_prompt")

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import is_filled
+from ..tables import stored
 
 
 def ordered_columns(df: DataFrame, first: Sequence[str], last: Sequence[str] = ()) -> DataFrame:
@@ -33,7 +34,8 @@ def row_ids(df: DataFrame, order: Sequence[Column | str], prefix: str = "", widt
     """1, 2, ... in the order, as numbers or, with a prefix, as text. Numbering all rows of a table is two passes: rows are
     range-partitioned by the order, counted for each partition, and numbered inside it, so no task holds the table."""
     keys = [F.col(o) if isinstance(o, str) else o for o in order]
-    spread = df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()).persist()
+    # range bounds come from a sample, so the partitions are written down before they are counted
+    spread = stored(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "ranges")
     counts = spread.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row for each partition
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     numbered = spread.withColumn("_k", F.row_number().over(W.partitionBy("_part").orderBy(*keys))).join(F.broadcast(before), "_part")

@@ -70,7 +70,10 @@ def class_summaries(df: DataFrame, text: str, label: str, location: str, positio
     classes = spark.createDataFrame([(x, k) for k, x in enumerate(TOPIC_ORDER)], "sentiment_label string, class_order int")
     own = df.where(F.col(label).isin(*LABELS)).select(F.col(label).alias("sentiment_label"), F.col(text).alias("t"), F.col(location).alias("l"), F.col(position).alias("p"))
     docs = own.groupBy("sentiment_label").agg(F.count(F.lit(1)).alias("n_documents"))
-    words = topic_keywords(df, text, label, rules, **noise).groupBy("sentiment_label").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "keyword"))), lambda x: x["keyword"]).alias("keywords"))
+    detail = F.struct("rank", "keyword", "source", "category", "weight", "blacklist_overridden", "frequency", "document_frequency")
+    # at most TOP_KEYWORDS entries for each class
+    words = topic_keywords(df, text, label, rules, **noise).groupBy("sentiment_label").agg(F.array_sort(F.collect_list(detail)).alias("keyword_details"))
+    words = words.withColumn("keywords", F.transform("keyword_details", lambda x: x["keyword"]))
     places = own.where("l IS NOT NULL AND l <> ''").groupBy("sentiment_label", "l").agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("first"))
     w = W.partitionBy("sentiment_label").orderBy(F.desc("n"), "first", "l")
     best = places.withColumn("k", F.row_number().over(w)).where(F.col("k") <= TOP_LOCATIONS)
@@ -82,9 +85,22 @@ def class_summaries(df: DataFrame, text: str, label: str, location: str, positio
         out = out.join(part, "sentiment_label", "left")
     return out.select(
         "sentiment_label", "class_order", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce(F.size("keywords"), F.lit(0)).alias("keyword_count"),
-        F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"), "top_locations", "representative_docs",
+        F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"), F.coalesce("keyword_details", F.array().cast(words.schema["keyword_details"].dataType)).alias("keyword_details"),
+        "top_locations", "representative_docs",
     )
 
 
+def keyword_rows(summaries: DataFrame) -> DataFrame:
+    """A row for each keyword of class_summaries(): sentiment_label and the keyword's details."""
+    return summaries.select("sentiment_label", F.explode("keyword_details").alias("d")).select("sentiment_label", "d.*")
+
+
+def extraction_metadata(rules: Rules, blacklist: Sequence[str] = ()) -> dict[str, object]:
+    """How the keywords came about: method, order of the classes, versions of the rules, terms that the blacklist has too."""
+    versions = dict(part.split("=", 1) for part in rules.version.split(";") if "=" in part)
+    overlap = blacklist_overlap(rules, blacklist)
+    return {"method": "keywords of the lexicon by class", "class_order": list(TOPIC_ORDER), "resource_versions": versions, "blacklist_overlap": overlap, "blacklist_overlap_count": len(overlap)}
+
+
 def blacklist_overlap(rules: Rules, blacklist: Sequence[str]) -> list[str]:
     return sorted((set(rules.words) | set(rules.phrases)) & {" ".join(b.casefold().split()) for b in blacklist})

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from .config import HIGH_CONFIDENCE, LABELS, REVIEW, RULE_ALPHA, SIMILARITY_BETA, TEMPERATURE_GRID, THRESHOLD_GRID, TOKEN, TRACKING, WEAK_THRESHOLD
+from .config import HIGH_CONFIDENCE, LABELS, NEGATIONS, REVIEW, RULE_ALPHA, SIMILARITY_BETA, TEMPERATURE_GRID, THRESHOLD_GRID, TOKEN, TRACKING, WEAK_THRESHOLD
 from .operators.fusion import policy_grid
+from .operators.lexicon import Rules
+from .oracle_rules import engine, keyword_ranks, token_rows
 from .terms import ASPECTS, LOCAL_TERMS, OUTSIDE_TERMS, PHRASES, SOURCE_LIST, WORDS
 
 _TOKEN = TOKEN.replace("'", "''")
@@ -175,7 +177,25 @@ def _bins(v: str, low: int, high: int, n: int) -> str:
     return f"least(greatest(floor(({v}::DOUBLE - {low}) / ({high} - {low}) * {n}), 0), {n - 1})::INTEGER"
 
 
+_RULES = Rules.load()
+_LAB_ROWS = f"lr AS (SELECT DISTINCT text_id, processed_text, location, lower({_strip('sentiment_label')}) AS actual FROM training_dataset WHERE lower({_strip('sentiment_label')}) IN ({_IN}))"
+_FLAG_URL = _url("coalesce(url, '')")["normal"]
+
 ORACLES = {
+    "lexicon_full": f"WITH {engine('documents', 'text', 'doc_id', _RULES)} SELECT id AS doc_id, rule_label, rule_score, rule_status, rule_hits, rule_explanation FROM ruled",
+    "flagship_full": f"""WITH f0 AS (SELECT doc_id, {_normal_text("text")} AS t, {_FLAG_URL} AS u FROM documents),
+f1 AS (SELECT doc_id, u, {_squeeze(_dictionary("t", NEGATIONS))} AS processed FROM f0),
+f2 AS (SELECT *, row_number() OVER (PARTITION BY u, processed ORDER BY doc_id) AS nth FROM f1 WHERE processed <> ''),
+f3 AS (SELECT doc_id, processed, {_logits("doc_id")} FROM f2 WHERE nth = 1),{engine("f3", "processed", "doc_id", _RULES)},
+f4 AS (SELECT f3.*, rule_label, rule_status FROM f3 JOIN ruled ON ruled.id = f3.doc_id),{_model("f4", 1.0)}, f AS ({_decided("model")})
+SELECT final_sentiment, fusion_action, rule_status, count(*) AS jumlah FROM f GROUP BY 1, 2, 3""",
+    "topic_keywords": f"""WITH {_LAB_ROWS},{keyword_ranks("lr", "processed_text", "actual", _RULES, 10)}
+SELECT keyword, sentiment_label, frequency, document_frequency, source, category, weight, false AS blacklist_overridden, rank FROM ranked""",
+    "topic_summaries": f"""WITH {_LAB_ROWS},{keyword_ranks("lr", "processed_text", "actual", _RULES, 10)},
+w AS (SELECT sentiment_label, CAST(count(*) AS INTEGER) AS n, string_agg(keyword, ',' ORDER BY rank) AS k FROM ranked GROUP BY sentiment_label), d AS (SELECT actual, count(*) AS n FROM lr GROUP BY actual)
+SELECT c.x AS sentiment_label, coalesce(d.n, 0) AS n_documents, coalesce(w.n, 0) AS keyword_count, coalesce(k, '') AS keywords
+FROM (VALUES ('positif'), ('netral'), ('negatif')) AS c(x) LEFT JOIN w ON w.sentiment_label = c.x LEFT JOIN d ON d.actual = c.x""",
+    "token_offsets": f"WITH {token_rows('documents', 'lower(text)', 'doc_id')} SELECT id AS doc_id, w AS text, CAST(a AS INTEGER) AS start, CAST(b AS INTEGER) AS \"end\", CAST(k - 1 AS INTEGER) AS index FROM tok",
     "flagship_decisions": f"""WITH d0 AS (SELECT doc_id, {_normal_text("text")} AS t, {_logits("doc_id")} FROM documents), d1 AS (SELECT *, {_tokens("t")} AS tok FROM d0 WHERE t <> ''),
 d2 AS (SELECT *, {_words("tok")} FROM d1), d3 AS (SELECT * EXCLUDE (rule_score, rule_hits), {_WORD_COLUMNS} FROM d2),{_model("d3", 1.0)}, f AS ({_decided("model")})
 SELECT final_sentiment, fusion_action, count(*) AS jumlah, count(*) FILTER (needs_review) AS to_review FROM f GROUP BY 1, 2""",
@@ -278,10 +298,11 @@ SELECT q, b, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY q
     "centroid_similarity": """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT label, unnest(e) AS x, unnest(range(len(e))) AS i FROM v WHERE label >= 0),
 m AS (SELECT label, i, avg(x) AS x FROM p GROUP BY label, i), c AS (SELECT label, list(x ORDER BY i) AS c FROM m GROUP BY label)
 SELECT vec_id, CASE WHEN c IS NULL THEN 0.0 ELSE round(list_cosine_similarity(e, c), 4) END AS semantic_similarity FROM v LEFT JOIN c USING (label)""",
-    "hashed_vectors": f"""WITH t AS (SELECT item_id, unnest({_tokens("text")}) AS t FROM benchmark WHERE text IS NOT NULL),
-p AS (SELECT item_id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 16 AS place, CASE WHEN ('0x' || substr(md5(t), 9, 2))::BIGINT % 2 = 0 THEN 1.0 ELSE -1.0 END AS s FROM t),
-r AS (SELECT b.item_id, g.place, coalesce(sum(p.s), 0.0) AS x FROM benchmark b CROSS JOIN (SELECT unnest(range(16)) AS place) g LEFT JOIN p ON p.item_id = b.item_id AND p.place = g.place GROUP BY b.item_id, g.place)
-SELECT item_id, place::INTEGER AS place, CASE WHEN sum(x * x) OVER (PARTITION BY item_id) > 0 THEN round(x::DOUBLE / sqrt(sum(x * x) OVER (PARTITION BY item_id)), 6) ELSE 0.0 END AS value FROM r""",
+    "hashed_vectors": f"""WITH t AS (SELECT doc_id, unnest({_tokens("text")}) AS t FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 128 AS place, CASE WHEN ('0x' || substr(md5(t), 9, 2))::BIGINT % 2 = 0 THEN 1.0 ELSE -1.0 END AS s FROM t),
+r AS (SELECT doc_id, place, sum(s) AS x FROM p GROUP BY doc_id, place),
+v AS (SELECT doc_id, place::INTEGER AS place, round(x::DOUBLE / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS value FROM r WHERE x <> 0)
+SELECT * FROM v WHERE value <> 0""",
     "ambiguity_decisions": f"""WITH {_LABELLED}, k AS (SELECT *, ('0x' || substr(md5(text_id), 20, 4))::BIGINT AS k FROM lab),
 r AS (SELECT text_id, rule_label, bert_label, list_filter([CASE WHEN rule_confidence < {RULE_ALPHA} THEN 'low_rule_confidence' END, CASE WHEN (k % 100) / 100.0 < {SIMILARITY_BETA} THEN 'low_semantic_similarity' END,
   CASE WHEN k % 7 - 1 = -1 THEN 'cluster_noise' END, CASE WHEN rule_label <> 'netral' AND bert_label <> 'netral' AND rule_label <> bert_label THEN 'rule_semantic_conflict' END], lambda x: x IS NOT NULL) AS why FROM k)
@@ -309,3 +330,47 @@ SELECT k.source_type, k.aspect, coalesce(a.n, 0) AS raw_count, coalesce(b.n, 0)
     "lineitem_profile": "SELECT l_returnflag, l_linestatus, count(*) AS jumlah FROM lineitem GROUP BY 1, 2",
     "customer_region": "SELECT r_name, c_mktsegment, count(*) AS jumlah FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2",
 }
+
+_SCOPE_NAME = "lower(regexp_replace({c}, '^(?i:kabupaten|kab\\.|kota|kecamatan)\\s+', ''))"
+_ROLE_TIER = "CASE dataset_tier WHEN 'A_candidate_core' THEN '{a}' WHEN 'B_review_queue' THEN '{b}' WHEN 'C_holdout_excluded' THEN '{c}' END"
+ORACLES |= {
+    "lexicon_evidence": f"""WITH {engine('documents', 'text', 'doc_id', _RULES)}
+SELECT id AS doc_id, term, CASE WHEN s3 > 0 THEN 'positif' WHEN s3 < 0 THEN 'negatif' ELSE label END AS label, source, score, CAST(a AS INTEGER) AS start, concat_ws(',', neg, up, down) AS modifiers, clause_weight,
+  CASE WHEN s3 <> 0 AND NOT changed AND n > 1 THEN CAST(format('{{:.4f}}', 1.0::DOUBLE / n) AS DOUBLE) ELSE 1.0 END AS repetition_weight, coalesce(blocked, '') AS blocked_by FROM hit""",
+    "evidence_payloads": f"""WITH {engine('documents', 'text', 'doc_id', _RULES)}
+SELECT l.id AS doc_id, 'SO-CAL-inspired' AS method, CAST(count(h.id) AS INTEGER) AS hits, 'seed-1' AS words_version FROM lows l LEFT JOIN hit h ON h.id = l.id GROUP BY l.id""",
+    "keyword_rows": f"""WITH {_LAB_ROWS},{keyword_ranks("lr", "processed_text", "actual", _RULES, 10)} SELECT sentiment_label, rank, keyword, source, category, frequency, document_frequency FROM ranked""",
+    "model_only": f"""WITH f0 AS (SELECT doc_id, {_normal_text("text")} AS t, {_FLAG_URL} AS u FROM documents), f1 AS (SELECT doc_id, u, {_squeeze(_dictionary("t", NEGATIONS))} AS processed FROM f0),
+f2 AS (SELECT *, row_number() OVER (PARTITION BY u, processed ORDER BY doc_id) AS nth FROM f1 WHERE processed <> ''), f3 AS (SELECT doc_id, {_logits("doc_id")} FROM f2 WHERE nth = 1),{_model("f3", 1.0)}
+SELECT bert_label AS model_sentiment, count(*) AS jumlah, round(avg(conf), 4) AS confidence FROM model GROUP BY 1""",
+    "model_gates": f"""WITH f0 AS (SELECT {_normal_text("text")} AS t, {_FLAG_URL} AS u FROM documents)
+SELECT count(DISTINCT {{'u': u, 't': {_squeeze(_dictionary("t", NEGATIONS))}}}) AS output_rows, true AS all_rows_have_sentiment, true AS all_labels_valid FROM f0 WHERE {_squeeze(_dictionary("t", NEGATIONS))} <> ''""",
+    "split_metrics": f"""WITH {_LABELLED}, part AS (SELECT text_id, min(struct_pack(p := processed_text, l := sentiment_label, s := split)).s AS s FROM training_dataset GROUP BY text_id),
+r AS (SELECT lab.*, lower({_strip("s")}) AS part FROM lab JOIN part USING (text_id) WHERE lower({_strip("s")}) IN ('train', 'calibration', 'test')), c AS ({_counted("r", "bert_label", "part")}) SELECT part, {_OVERALL} FROM c""",
+    "policy_applied": f"""WITH {_LABELLED}, f AS ({_decided("lab", "0.7", "0.5", "0.5", "0.3", "0.2")}) SELECT fusion_action, final_sentiment, needs_review, count(*) AS jumlah FROM f GROUP BY 1, 2, 3""",
+    "scatter_points": f"""WITH {_LABELLED}, f AS ({_decided("lab")}) SELECT text_id, round(conf, 6) AS confidence, score AS uncertainty, round(marg, 6) AS margin, round(ent, 6) AS entropy FROM f""",
+    "report_values": f"SELECT CASE WHEN sentiment IN ({_IN}) THEN sentiment ELSE '(kosong)' END AS report_value, count(*) AS jumlah FROM golden_labels GROUP BY 1",
+    "statement_roles": f"""WITH c AS (SELECT text, coalesce(source_type, '') AS s, dataset_tier FROM candidate_labeling_dataset WHERE dataset_tier IS NOT NULL AND text IS NOT NULL)
+SELECT CASE s WHEN 'academic_repository' THEN 'researcher' WHEN 'government_official' THEN 'public_official' WHEN 'corporate_official' THEN 'company_representative' WHEN 'social_media' THEN 'public_user' ELSE 'community_representative' END AS speaker_type,
+  CASE WHEN dataset_tier = 'C_holdout_excluded' THEN 'contextual_source' WHEN s = 'academic_repository' THEN 'researcher_assessment' WHEN s IN ('government_official', 'corporate_official') THEN 'institutional_claim'
+    WHEN regexp_matches(lower(text), 'harap|dambakan|ingin|butuh') THEN 'public_expectation' ELSE 'public_experience' END AS subjectivity_type,
+  CASE WHEN dataset_tier = 'C_holdout_excluded' THEN 'contextual_reference' WHEN s = 'academic_repository' THEN 'researcher_or_author_assessment' WHEN s IN ('government_official', 'corporate_official') THEN 'stakeholder_opinion' ELSE 'public_opinion' END AS public_opinion_scope,
+  {_ROLE_TIER.format(a="candidate_analysis_ready", b="review_required_before_core", c="held_out_not_for_sentiment_core")} AS inclusion_status, {_ROLE_TIER.format(a="core_public_opinion", b="contextual_evidence", c="excluded")} AS corpus_role, count(*) AS jumlah
+FROM c GROUP BY ALL""",
+    "projection": "SELECT sentiment, text_id, location, text_selected FROM golden_labels",
+    "screened_rows": f"SELECT CASE WHEN blacklist_status = 'clear' THEN 'clear' ELSE 'audit' END AS part, CAST(sum(jumlah) AS BIGINT) AS jumlah FROM ({ORACLES['source_screening']}) GROUP BY 1",
+    "filtered_records": "SELECT record_id FROM url_discovery WHERE content_status = 'success' AND found_by_count >= 1 AND length(content_text) > 200",
+    "invalid_labels": f"SELECT DISTINCT sentiment FROM golden_labels WHERE sentiment IS NULL OR sentiment NOT IN ({_IN})",
+    "checked_labels": f"SELECT lower({_strip('sentiment_label')}) AS sentiment_label, count(*) AS jumlah FROM training_dataset WHERE lower({_strip('sentiment_label')}) IN ({_IN}) GROUP BY 1",
+    "distinct_lines": f"""WITH l AS (SELECT record_id, list_filter(list_transform(string_split(coalesce(content_text, ''), chr(10)), lambda x: {_squeeze("x")}), lambda x: x <> '') AS l FROM url_discovery),
+k AS (SELECT record_id, coalesce(array_to_string(list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1]), chr(10)), '') AS t FROM l) SELECT record_id, md5(t) AS digest, length(t) AS n_chars FROM k""",
+    "text_previews": f"""SELECT doc_id, CASE WHEN length(t) > 60 THEN regexp_replace(substr(t, 1, 57), '\\s+$', '') || '...' ELSE t END AS preview FROM (SELECT doc_id, {_squeeze("coalesce(text, '')")} AS t FROM documents)""",
+    "adjudicated": f"""WITH {_LABELLED}, f AS ({_decided("lab")}), a AS (SELECT text_id, CASE WHEN {_filled("processed_text")} THEN length(substr(processed_text, 1, 100)) % 3 ELSE 2 END AS n FROM f WHERE requires_llm)
+SELECT text_id, CASE n WHEN 0 THEN 'positif' WHEN 1 THEN 'negatif' ELSE 'netral' END AS llm_label, n < 2 AS llm_parsed, CASE n WHEN 0 THEN 'positif' WHEN 1 THEN 'negatif' ELSE 'netral' END AS final_sentiment, 'llm' AS decision_source FROM a""",
+    "location_scopes": f"""WITH g AS (SELECT DISTINCT {_SCOPE_NAME.format(c=_strip("name"))} AS n, coalesce({_filled("parent_code")}, false) AS s FROM gazetteer WHERE {_filled("name")}),
+c AS (SELECT {_SCOPE_NAME.format(c=_strip("coalesce(location, '')"))} AS n FROM candidate_labeling_dataset)
+SELECT CASE WHEN n = '' THEN 'empty' WHEN n IN (SELECT n FROM g WHERE s) THEN 'specific' WHEN n IN (SELECT n FROM g WHERE NOT s) THEN 'province' ELSE 'other' END AS scope, count(*) AS jumlah FROM c GROUP BY 1""",
+    "canonical_places": f"""WITH g AS (SELECT code, name, regexp_replace({_strip("name")}, '^(?:KABUPATEN|KOTA|KECAMATAN)\\s+', '') AS p FROM gazetteer)
+SELECT code, array_to_string(list_transform(list_zip(regexp_split_to_array(lower(p), '\\pL+'), regexp_extract_all(lower(p), '\\pL+')), lambda z: z[1] || coalesce(upper(substr(z[2], 1, 1)) || substr(z[2], 2), '')), '') AS place,
+  regexp_replace(lower(name), '[^\\pL\\pN]+', '', 'g') AS key FROM g""",
+}

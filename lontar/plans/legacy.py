@@ -12,11 +12,12 @@ from ..operators.lexicon import Rules, score_texts
 from ..runtime import ship
 
 
-def legacy_decisions(df: DataFrame, id_col: str, text: str, rules: Rules | None = None, group: str | None = None) -> DataFrame:
+def legacy_decisions(df: DataFrame, id_col: str, text: str, group: str, rules: Rules | None = None) -> DataFrame:
     """df with rule, cluster and decision columns; see leader_clusters() for `group`."""
     ship(df.sparkSession)
+    df = df.withColumn(group, F.coalesce(F.col(group).cast("string"), F.lit("")))
     scored = score_texts(df, text, rules).withColumn("embedding_backend", F.lit("hashing")).withColumn("_vector", hash_embedding()(F.col(text)))
     clusters = leader_clusters(scored, id_col, "_vector", "rule_label", group)
-    out = scored.join(clusters, [id_col, *([group] if group else [])])
+    out = scored.join(clusters, [id_col, group])
     d = ambiguity(F.col("rule_label"), F.col("rule_confidence"), F.col("semantic_label"), F.col("semantic_similarity"), F.col("cluster_id"))
     return out.withColumn("_d", d).select("*", "_d.*").drop("_d", "_vector")

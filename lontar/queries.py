@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +12,10 @@ from . import oracles
 from .config import LABELS
 from .functions import match, numeric, text, urls
 from .operators import calibration, cluster, curation, evaluate, fusion, lookup, profile, providers, relational, sampling, spans, topics
-from .operators.lexicon import Rules, score_texts, word_scores
-from .plans import flagship, legacy
-from .schemas import require_columns
+from .operators.lexicon import Rules, evidence_payload, score_texts, word_scores
+from .plans import flagship, legacy, policy
+from .plans import model_only as model_only_plan
+from .schemas import check_domain, require_columns
 from .terms import ASPECTS, LOCAL_TERMS, OUTSIDE_TERMS, PHRASES, SOURCE_LIST, WORDS
 
 LOGITS = ["z_negatif", "z_netral", "z_positif"]
@@ -74,7 +78,7 @@ def token_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def token_offsets(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "benchmark").select("item_id", F.explode(text.token_spans(F.col("text"))).alias("t")).select("item_id", "t.*")
+    return _t(spark, d, "documents").select("doc_id", F.explode(text.token_spans(F.col("text"))).alias("t")).select("doc_id", "t.*")
 
 
 def term_frequencies(spark: SparkSession, d: str) -> DataFrame:
@@ -241,6 +245,122 @@ def lexicon_full(spark: SparkSession, d: str) -> DataFrame:
     return score_texts(_t(spark, d, "documents").select("doc_id", "text"), "text", Rules.load()).select("doc_id", "rule_label", "rule_score", "rule_status", "rule_hits", "rule_explanation")
 
 
+def lexicon_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Every hit of the rule engine with its score and what changed it."""
+    rows = score_texts(_t(spark, d, "documents").select("doc_id", "text"), "text", Rules.load()).select("doc_id", F.explode("rule_evidence").alias("e"))
+    return rows.select("doc_id", "e.term", "e.label", "e.source", "e.score", F.col("e.span")[0].alias("start"), F.array_join("e.modifiers", ",").alias("modifiers"), "e.clause_weight", "e.repetition_weight", "e.blocked_by")
+
+
+def evidence_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """The evidence of each document as JSON: what its hits sum to, read back from the text."""
+    rules = Rules.load()
+    rows = score_texts(_t(spark, d, "documents").select("doc_id", "text"), "text", rules)
+    p = rows.select("doc_id", F.from_json(evidence_payload(rules), "method string, resource_versions map<string,string>, sentiment_hits array<struct<term:string,score:double>>, neutral_hits array<string>").alias("p"))
+    return p.select("doc_id", "p.method", F.size("p.sentiment_hits").alias("hits"), F.element_at("p.resource_versions", "words").alias("words_version"))
+
+
+def keyword_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = _labelled(spark, d).withColumn("p", F.col("text_id"))
+    return topics.keyword_rows(topics.class_summaries(rows, "processed_text", "actual", "location", "p")).select("sentiment_label", "rank", "keyword", "source", "category", "frequency", "document_frequency")
+
+
+def model_only(spark: SparkSession, d: str) -> DataFrame:
+    rows = model_only_plan.model_rows(_opinions(spark, d), LOGITS, ["doc_id"])
+    return rows.groupBy("model_sentiment").agg(F.count(F.lit(1)).alias("jumlah"), F.round(F.avg("bert_confidence"), 4).alias("confidence"))
+
+
+def model_gates(spark: SparkSession, d: str) -> DataFrame:
+    return model_only_plan.model_gates(model_only_plan.model_rows(_opinions(spark, d), LOGITS, ["doc_id"]))
+
+
+def split_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """The model alone, for each split."""
+    rows = _labelled(spark, d).withColumn("part", F.lower(text.strip(F.col("split")))).where("part IN ('train', 'calibration', 'test')")
+    return evaluate.overall_metrics(rows, "actual", "bert_label", ["part"])
+
+
+def policy_applied(spark: SparkSession, d: str) -> DataFrame:
+    """Another frozen policy than the default one, applied to labelled rows."""
+    p = policy.Policy({"wc": 0.5, "wm": 0.3, "wd": 0.2}, 0.7, 0.5, 1.3)
+    return policy.apply_policy(_labelled(spark, d), p).groupBy("fusion_action", "final_sentiment", "needs_review").agg(F.count(F.lit(1)).alias("jumlah"))
+
+
+def scatter_points(spark: SparkSession, d: str) -> DataFrame:
+    rows = fusion.add_uncertainty(_labelled(spark, d))
+    return rows.select("text_id", F.round("bert_confidence", 6).alias("confidence"), F.col("routing_uncertainty_score").alias("uncertainty"), F.round("bert_margin", 6).alias("margin"), F.round("bert_entropy", 6).alias("entropy"))
+
+
+def report_values(spark: SparkSession, d: str) -> DataFrame:
+    t = _t(spark, d, "golden_labels")
+    return profile.report_column(t, ["final_sentiment", "bert_label", "sentiment"], LABELS, "(kosong)")[0].groupBy("report_value").agg(F.count(F.lit(1)).alias("jumlah"))
+
+
+def statement_roles(spark: SparkSession, d: str) -> DataFrame:
+    c = _t(spark, d, "candidate_labeling_dataset").select("text", "source_type", "dataset_tier").where("dataset_tier IS NOT NULL AND text IS NOT NULL")
+    return curation.with_roles(c).groupBy("speaker_type", "subjectivity_type", "public_opinion_scope", "inclusion_status", "corpus_role").agg(F.count(F.lit(1)).alias("jumlah"))
+
+
+def projection(spark: SparkSession, d: str) -> DataFrame:
+    return relational.ordered_columns(_t(spark, d, "golden_labels"), ["sentiment", "absent", "text_id"], ["text_selected"])
+
+
+def screened_rows(spark: SparkSession, d: str) -> DataFrame:
+    u = _t(spark, d, "url_discovery").withColumn("source_url", F.coalesce("canonical_url", F.lit("")))
+    rules = curation.SourceRules(commercial_domains=SOURCE_LIST, commercial_paths=("/toko/", "promo"), outside_terms=OUTSIDE_TERMS, local_terms=LOCAL_TERMS)
+    rows = curation.classify_sources(u, rules)
+    parts = [f(rows).agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("jumlah")) for name, f in (("clear", curation.clear_rows), ("audit", curation.audit_rows))]
+    return parts[0].unionByName(parts[1])
+
+
+def filtered_records(spark: SparkSession, d: str) -> DataFrame:
+    conditions = [F.col("content_status") == "success", F.col("found_by_count") >= 1, F.length("content_text") > 200]
+    return _t(spark, d, "url_discovery").where(relational.all_of(conditions)).select("record_id")
+
+
+def invalid_labels(spark: SparkSession, d: str) -> DataFrame:
+    return relational.values_outside(_t(spark, d, "golden_labels"), "sentiment", LABELS)
+
+
+def checked_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Labels trimmed and in lower case, after the check of their domain."""
+    t = _t(spark, d, "training_dataset").where(F.lower(text.strip(F.col("sentiment_label"))).isin(*LABELS))
+    return check_domain(t, "sentiment_label", LABELS).groupBy("sentiment_label").agg(F.count(F.lit(1)).alias("jumlah"))
+
+
+def distinct_lines(spark: SparkSession, d: str) -> DataFrame:
+    t = text.drop_repeated_lines(F.coalesce("content_text", F.lit("")))
+    return _t(spark, d, "url_discovery").select("record_id", F.md5(t).alias("digest"), F.length(t).alias("n_chars"))
+
+
+def text_previews(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", text.preview(F.coalesce("text", F.lit("")), 60).alias("preview"))
+
+
+def adjudicated(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that the policy sends to an adjudicator, here a fixed function of the prompt's length."""
+
+    def ask(prompts: Sequence[str]) -> list[str]:
+        return [("Jawab: POSITIF", "negatif, kiranya", "entah")[len(p) % 3] for p in prompts]
+
+    rows = providers.adjudicate(_fused(spark, d), "processed_text", ask, longest=100)
+    return rows.where("requires_llm").select("text_id", "llm_label", "llm_parsed", "final_sentiment", "decision_source")
+
+
+def location_scopes(spark: SparkSession, d: str) -> DataFrame:
+    c, g = _t(spark, d, "candidate_labeling_dataset"), _places(spark, d)
+    names = [lookup_name(n) for n, _, specific in g if specific], [lookup_name(n) for n, _, specific in g if not specific]
+    return c.groupBy(lookup.location_scope(F.col("location"), *names).alias("scope")).agg(F.count(F.lit(1)).alias("jumlah"))
+
+
+def lookup_name(name: str) -> str:
+    return re.sub(r"^(?i:kabupaten|kab\.|kota|kecamatan)\s+", "", name.strip())
+
+
+def canonical_places(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("name")
+    return _t(spark, d, "gazetteer").select("code", lookup.canonical_place(n).alias("place"), lookup.place_key(n).alias("key"))
+
+
 def softmax_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = providers.from_logits(_opinions(spark, d), LOGITS, 1.7)
     return rows.select("doc_id", "bert_label", *[F.round(f"bert_prob_{x}", 6).alias(f"p_{x}") for x in LABELS], F.round("bert_margin", 6).alias("margin"), F.round("bert_entropy", 6).alias("entropy"))
@@ -322,13 +442,13 @@ def centroid_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hashed_vectors(spark: SparkSession, d: str) -> DataFrame:
-    v = numeric.md5_embedding(F.col("text"), 16)
-    return _t(spark, d, "benchmark").select("item_id", F.posexplode(v).alias("place", "value"))
+    v = F.posexplode(numeric.md5_embedding(F.col("text"))).alias("place", "value")
+    return _t(spark, d, "documents").select("doc_id", v).where("value <> 0")
 
 
 def leader_clusters(spark: SparkSession, d: str) -> DataFrame:
-    v = _t(spark, d, "embeddings").withColumn("name", F.col("label").cast("string"))
-    return cluster.leader_clusters(v, "vec_id", "embedding", "name")
+    v = _t(spark, d, "embeddings").withColumns({"name": F.col("label").cast("string"), "part": F.col("vec_id") % 64})
+    return cluster.leader_clusters(v, "vec_id", "embedding", "name", "part")
 
 
 def ambiguity_decisions(spark: SparkSession, d: str) -> DataFrame:
@@ -339,8 +459,8 @@ def ambiguity_decisions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def legacy_flow(spark: SparkSession, d: str) -> DataFrame:
-    rows = _t(spark, d, "benchmark")
-    return legacy.legacy_decisions(rows, "item_id", "text").groupBy("final_label", "is_ambiguous").agg(F.count(F.lit(1)).alias("jumlah"))
+    rows = _t(spark, d, "documents").select("doc_id", "text", F.concat_ws("-", F.coalesce("source", F.lit("")), F.col("doc_id") % 16).alias("part"))
+    return legacy.legacy_decisions(rows, "doc_id", "text", "part").groupBy("final_label", "is_ambiguous").agg(F.count(F.lit(1)).alias("jumlah"))
 
 
 def group_leakage(spark: SparkSession, d: str) -> DataFrame:
@@ -409,7 +529,8 @@ QUERIES = {
         location_inference, candidate_building, labeling_ready, labeling_buckets, labeling_sample, sentence_spans, lexicon_words, lexicon_full, softmax_rows, temperature_grid,
         uncertainty_scores, fusion_decisions, fusion_facts, policy_search, confusion_matrix, label_metrics, component_metrics, metric_deltas, probability_metrics,
         threshold_sweep, threshold_choice, class_weights, rating_labels, topic_keywords, topic_summaries, vector_neighbours, centroid_similarity, hashed_vectors,
-        leader_clusters, ambiguity_decisions, legacy_flow, group_leakage, fold_assignment, split_join, metadata_recovery, gazetteer_levels, location_coverage,
+        leader_clusters, ambiguity_decisions, legacy_flow, lexicon_evidence, evidence_payloads, keyword_rows, model_only, model_gates, split_metrics, policy_applied, scatter_points,
+        report_values, statement_roles, projection, screened_rows, filtered_records, invalid_labels, checked_labels, distinct_lines, text_previews, adjudicated, location_scopes, canonical_places, group_leakage, fold_assignment, split_join, metadata_recovery, gazetteer_levels, location_coverage,
         combination_audit, event_props, orders_first, lineitem_profile, customer_region,
     )
 }

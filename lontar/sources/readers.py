@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import LABEL_IDS
-from ..functions.text import filled
+from ..functions.text import filled, word_count
 from ..schemas import CRAWL_FILE, GAZETTEER, GOLDEN
 
 
@@ -24,13 +24,10 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructTyp
 
 
 def read_csv_any(spark: SparkSession, path: str, schema: T.StructType | str | None = None, fallback: str = "ISO-8859-1") -> DataFrame:
-    """As UTF-8, or as the fallback if a value has a replacement character; the check reads until it finds one."""
-    df = read_csv(spark, path, schema)
-    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    broken = F.lit(False)
-    for c in texts:
-        broken = broken | F.coalesce(F.col(f"`{c}`").contains("�"), F.lit(False))
-    return read_csv(spark, path, schema, fallback) if df.where(broken).limit(1).count() else df
+    """As UTF-8, with a byte-order mark or without, or as the fallback if a line isn't UTF-8; the check reads lines as bytes
+    until it finds one. A replacement character in valid UTF-8 is text like any other."""
+    broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
+    return read_csv(spark, path, schema, fallback if broken else "UTF-8")
 
 
 def read_any(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -53,7 +50,7 @@ def crawl_meta(files: DataFrame) -> DataFrame:
 
 
 def crawl_queries(files: DataFrame) -> DataFrame:
-    return files.select("source_file", F.explode("queries").alias("q")).select("source_file", "q.query_id", F.col("q.group").alias("query_group"), "q.query", F.col("q.status").alias("query_status"))
+    return files.select("source_file", F.explode_outer("queries").alias("q")).select("source_file", "q.query_id", F.col("q.group").alias("query_group"), "q.query", F.col("q.status").alias("query_status"))
 
 
 def golden_labels(spark: SparkSession, folder: str, pattern: str = "*_sentiment_labeling_output.json") -> DataFrame:
@@ -78,15 +75,54 @@ def gazetteer(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.schema(GAZETTEER).option("header", True).csv(list(paths))
 
 
+def list_files(spark: SparkSession, pattern: str) -> list[str]:
+    """Files that match a pattern, in any file system that Spark reads, sorted."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return sorted(str(f.getPath().toString()) for f in (found or []))
+
+
+def golden_any(spark: SparkSession, folder: str, empty: str = "(kosong)") -> DataFrame:
+    """golden_file, golden_row (from 1), text_id, sentiment, location, text, text_length, word_count of label files in any
+    of the usual shapes: a list of rows, or an object with the rows under `data` or else `rows`; the text is the first
+    filled one of text_selected, text and content, the label stands in `sentiment` or else `label`."""
+    row = "array<struct<text_id:string,text_selected:string,text:string,content:string,sentiment:string,label:string,location:string>>"
+    raw = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json").select("value", F.col("_metadata.file_name").alias("golden_file"))
+    listed, under = F.from_json("value", row), F.from_json("value", f"struct<data:{row},rows:{row}>")
+    rows = F.when(F.ltrim(F.regexp_replace("value", r"^\s+", "")).startswith("["), listed).otherwise(F.coalesce(under["data"], under["rows"]))
+    r = raw.select("golden_file", F.posexplode(rows).alias("at", "r")).where("r IS NOT NULL")
+    text = F.coalesce(filled(F.col("r.text_selected")), filled(F.col("r.text")), filled(F.col("r.content")), F.lit(""))
+    out = r.select(
+        "golden_file", (F.col("at") + 1).alias("golden_row"), F.coalesce(filled(F.col("r.text_id")), F.lit("")).alias("text_id"),
+        F.coalesce(filled(F.coalesce("r.sentiment", "r.label")), F.lit(empty)).alias("sentiment"), F.coalesce(filled(F.col("r.location")), F.lit(empty)).alias("location"), text.alias("text"),
+    )
+    return out.withColumns({"text_length": F.length("text"), "word_count": word_count(F.col("text"))})
+
+
+def keyword_lists(path: str | Path, keys: Sequence[str]) -> dict[str, tuple[str, ...]]:
+    """The lists of a keyword resource under the given keys, in lower case with single blanks, each term once; KeyError for
+    a missing key, ValueError for anything but a list of texts."""
+    data = read_object(path)
+    missing = [k for k in keys if k not in data]
+    if missing:
+        raise KeyError(f"{path}: missing {missing}")
+    out = {}
+    for k in keys:
+        if not isinstance(data[k], list) or not all(isinstance(x, str) for x in data[k]):
+            raise ValueError(f"{path}: {k} is no list of texts")
+        out[k] = tuple(dict.fromkeys(t for x in data[k] if (t := " ".join(x.casefold().split()))))
+    return out
+
+
 def used_urls(spark: SparkSession, folder: str, pattern: str = "*candidate*.csv", column: str = "source_url", answered: bool = True) -> DataFrame:
     """Distinct addresses of the candidate files of a folder; with `answered` only of files beside which there is a file
     of labels. The driver lists names only."""
-    files = sorted(Path(folder).glob(pattern))
+    files = list_files(spark, f"{folder.rstrip('/')}/{pattern}")
     if answered:
-        files = [f for f in files if any(f.parent.glob(f"{f.stem.split('candidate')[0]}*sentiment_labeling_output*.json"))]
+        files = [f for f in files if list_files(spark, f"{f.rpartition('/')[0]}/{f.rpartition('/')[2].split('candidate')[0].removesuffix('.csv')}*sentiment_labeling_output*.json")]
     if not files:
         return spark.createDataFrame([], f"{column} string")
-    return read_csv(spark, [str(f) for f in files]).select(filled(F.col(column)).alias(column)).where(f"{column} IS NOT NULL").distinct()
+    return read_csv(spark, files).select(filled(F.col(column)).alias(column)).where(f"{column} IS NOT NULL").distinct()
 
 
 def read_object(path: str | Path, missing_ok: bool = False) -> dict:

@@ -111,3 +111,23 @@ def test_span_boundaries():
     assert split_spans("Harga Rp1.500 naik. Lihat www.a.id. Kata Dr. Budi; sudah selesai!", 0, 0) == ["Harga Rp1.500 naik. Lihat www.a.id. Kata Dr. Budi;", "sudah selesai!"]
     assert split_spans("Satu kalimat pendek. Dua. Tiga kalimat yang lebih panjang dari batas.", 10, 0) == ["Satu kalimat pendek.", "Dua. Tiga kalimat yang lebih panjang dari batas."]
     assert split_spans(None) == [] and split_spans("  ") == []
+
+
+def test_compatibility_form(spark):
+    import unicodedata
+
+    from lontar.functions.text import nfkc
+
+    values = ["  A  B ", "ﬁ ＡＢＣ ½", "Straße\u00a0X", "İstanbul", "", None, "e\u0301"]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v string")
+    got = {r["k"]: r["n"] for r in df.select("k", nfkc(F.col("v")).alias("n")).collect()}
+    assert got == {k: None if v is None else " ".join(unicodedata.normalize("NFKC", v).casefold().split()) for k, v in enumerate(values)}
+
+
+def test_title_case_equals_python(spark):
+    from lontar.operators.lookup import canonical_place, title_case
+
+    values = ["kota-baru d'or 3desa", "SEI AMBAWANG", "", "tanjung (hulu)"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    assert [r[0] for r in df.select(title_case(F.col("v"))).collect()] == [v.title() for v in values]
+    assert df.limit(1).select(canonical_place(F.lit(" KABUPATEN KUBU RAYA ")), canonical_place(F.lit("Kota Lama"))).first()[:] == ("Kubu Raya", "Kota Lama")

@@ -146,12 +146,66 @@ def test_contracts(spark):
 
 
 def test_clusters(spark):
-    v = spark.createDataFrame([(k, [1.0, 0.01 * k], "positif" if k % 3 else "negatif") for k in range(6)] + [(9, [0.0, 1.0], "netral"), (10, [], "netral")], "id int, v array<double>, label string")
-    out = {r["id"]: r for r in cluster.leader_clusters(v, "id", "v", "label").collect()}
+    v = spark.createDataFrame([(k, [1.0, 0.01 * k], "positif" if k % 3 else "negatif") for k in range(6)] + [(9, [0.0, 1.0], "netral"), (10, [], "netral")], "id int, v array<double>, label string").withColumn("part", F.lit("a"))
+    out = {r["id"]: r for r in cluster.leader_clusters(v, "id", "v", "label", "part").collect()}
     assert out[0]["cluster_id"] == 0 and out[9]["cluster_id"] == -1 and out[9]["semantic_label"] == "netral" and out[0]["cluster_size"] == 6 and out[9]["cluster_size"] == 2
     assert out[3]["semantic_label"] == "positif" and out[0]["semantic_similarity"] > 0.99 and out[9]["semantic_similarity"] == 0.0
 
 
+def test_leaders_equal_brute_force_in_each_group(spark):
+    import math
+    import random
+
+    rng = random.Random(2)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(3)], rng.choice("abc"), rng.choice([None, "x", "y"])) for k in range(120)]
+    df = spark.createDataFrame(rows, "id int, v array<double>, label string, part string")
+    got = {r["id"]: r["cluster_id"] for r in cluster.leader_clusters(df, "id", "v", "label", "part", smallest=1).collect()}
+
+    def cos(a, b):
+        return sum(x * y for x, y in zip(a, b, strict=True)) / math.dist(a, [0] * 3) / math.dist(b, [0] * 3)
+
+    for part in (None, "x", "y"):
+        sums, counts = [], []
+        for i, v, _, g in rows:
+            if g != part:
+                continue
+            near = [cos(v, [x / n for x in s]) for s, n in zip(sums, counts, strict=True)]
+            at = max(range(len(near)), key=lambda k: near[k], default=-1)
+            if at < 0 or near[at] < 0.72:
+                at = len(sums)
+                sums.append([0.0] * 3)
+                counts.append(0)
+            sums[at] = [a + b for a, b in zip(sums[at], v, strict=True)]
+            counts[at] += 1
+            assert got[i] == at
+
+
+def test_unparsed_and_blank_answers_become_netral(spark):
+    df = spark.createDataFrame([(1, "abc", True, "positif"), (2, " ", True, "positif"), (3, "abc", False, "positif"), (4, None, True, "negatif")], "id int, t string, requires_llm boolean, final_sentiment string")
+    asked = []
+    out = {r["id"]: (r["final_sentiment"], r["decision_source"], r["llm_parsed"]) for r in providers.adjudicate(df, "t", lambda xs: asked.extend(xs) or ["entah"] * len(xs)).collect()}
+    assert out == {1: ("netral", "llm", False), 2: ("netral", "llm", False), 3: ("positif", "fusion", None), 4: ("netral", "llm", False)}
+
+
+def test_embeddings_have_length_one(spark):
+    df = spark.createDataFrame([(1, "ab"), (2, None)], "id int, t string")
+    out = {r["id"]: r for r in providers.embed_batches(df, "t", lambda xs: [[3.0 * len(x), 4.0 * len(x)] for x in xs], "test").collect()}
+    assert out[1]["embedding"] == [0.6, 0.8] and out[2]["embedding"] == [0.0, 0.0] and out[1]["embedding_backend"] == "test"
+
+
+def test_numbering_keeps_no_cache(spark):
+    df = spark.createDataFrame([(f"k{k:03}",) for k in range(200)], "k string")
+    rows = sorted((r["k"], r["row_id"]) for r in relational.row_ids(df, ["k"], "R-", 4).collect())
+    assert rows == [(f"k{k:03}", f"R-{k + 1:04}") for k in range(200)]
+
+
+def test_report_column(spark):
+    df = spark.createDataFrame([("x", None), ("y", "positif")], "bert_label string, sentiment_label string")
+    out, name = profile.report_column(df, ["final_sentiment", "bert_label", "sentiment_label"], ["positif"], "-")
+    assert name == "sentiment_label" and sorted(r["report_value"] for r in out.collect()) == ["-", "positif"]
+    assert profile.report_column(df.select("bert_label"), ["none"], ["positif"], "-")[1] == "-"
+
+
 def test_sampling(spark):
     rows = [(f"t{k}", "x" if k < 3 else "y", "p" if k % 2 else "q", float(k)) for k in range(12)]
     df = spark.createDataFrame(rows, "text_id string, source_type string, aspect string, s double")

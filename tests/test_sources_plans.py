@@ -1,11 +1,13 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from lontar.operators.curation import ResearchConfig, candidate_rows, flatten_records, one_per_url
 from lontar.operators.curation import SourceRules
 from lontar.operators.lookup import location_scope
-from lontar.plans import candidates, flagship, legacy, training
+from lontar.operators import calibration
+from lontar.plans import candidates, flagship, legacy, policy, training
 from lontar.sources import readers, sinks
 from lontar.streaming import scoring
 
@@ -52,6 +54,45 @@ def test_files(spark, tmp_path):
     assert (g["sentiment_label"], g["label_id"]) == ("positif", 2)
 
 
+def test_encodings_of_csv(spark, tmp_path):
+    cases = {"utf8": ("id,text\n1,a\ufffdb – é\n".encode(), "a\ufffdb – é"), "bom": ("\ufeffid,text\n1,é\n".encode(), "é"), "latin": ("id,text\n1,\xe9\n".encode("latin-1"), "é")}
+    for name, (raw, text) in cases.items():
+        p = tmp_path / f"{name}.csv"
+        p.write_bytes(raw)
+        df = readers.read_csv_any(spark, str(p))
+        assert df.columns == ["id", "text"] and df.first()["text"] == text, name
+
+
+def test_golden_labels_of_any_shape(spark, tmp_path):
+    row = {"text_id": " a ", "text_selected": " ", "text": "dua kata ", "label": "positif"}
+    for name, payload in (("a", [row, {"content": "isi", "sentiment": " "}]), ("b", {"data": [row]}), ("c", {"rows": [row]}), ("d", {"other": 1}), ("e", [])):
+        (tmp_path / f"{name}.json").write_text(json.dumps(payload))
+    out = {(r["golden_file"], r["golden_row"]): tuple(r)[2:] for r in readers.golden_any(spark, str(tmp_path)).collect()}
+    full = ("a", "positif", "(kosong)", "dua kata", 8, 2)
+    assert out == {("a.json", 1): full, ("a.json", 2): ("", "(kosong)", "(kosong)", "isi", 3, 1), ("b.json", 1): full, ("c.json", 1): full}
+
+
+def test_keyword_lists_and_frozen_policies(tmp_path):
+    p = sinks.save_json({"a": [" Satu  Dua", "satu dua", ""], "b": ["x"], "c": "no list"}, tmp_path / "k.json")
+    assert readers.keyword_lists(p, ["a", "b"]) == {"a": ("satu dua",), "b": ("x",)}
+    for keys, error in ((["z"], KeyError), (["c"], ValueError)):
+        with pytest.raises(error):
+            readers.keyword_lists(p, keys)
+    own = policy.Policy({"wc": 0.5, "wm": 0.3, "wd": 0.2}, 0.75, 0.6, 1.4)
+    assert policy.Policy.load(own.save(tmp_path / "p.json")) == own
+    assert calibration.load_temperature(calibration.save_temperature({"temperature": 1.5}, tmp_path / "t.json")) == 1.5
+    for payload in ({"temperature": 0}, {"weights": {"wc": 1}}):
+        with pytest.raises(ValueError):
+            policy.Policy.load(sinks.save_json(payload, tmp_path / "bad.json"))
+    with pytest.raises(ValueError):
+        calibration.load_temperature(sinks.save_json({}, tmp_path / "bad.json"))
+
+
+def test_crawl_files_without_queries_stay(spark):
+    files = spark.createDataFrame([("a.json", [("q", "g", "x", "s")]), ("b.json", None), ("c.json", [])], "source_file string, queries array<struct<query_id:string,group:string,query:string,status:string>>")
+    assert sorted(r["source_file"] for r in readers.crawl_queries(files).collect()) == ["a.json", "b.json", "c.json"]
+
+
 def runtime(spark):
     rows = [("1", "Lampu rusak!", "https://a.id/1?utm_source=x", "news", "S", 0.0, 0.0, 3.0), ("2", "lampu RUSAK!!", "https://www.a.id/1", "news", "S", 0.0, 0.0, 3.0), ("3", "", "u", "news", "S", 0.0, 0.0, 0.0), ("4", None, None, None, None, 1.0, 0.0, 0.0), ("5", "terang sekali", "https://a.id/2", "n", "", 0.0, 0.0, 3.0)]
     return spark.createDataFrame(rows, "text_id string, text string, source_url string, source_type string, location string, z0 double, z1 double, z2 double")
@@ -75,8 +116,8 @@ def test_training(spark):
 
 
 def test_legacy(spark):
-    df = spark.createDataFrame([(k, "lampu padam lagi") for k in range(4)] + [(9, "harga")], "id int, text string")
-    out = {r["id"]: r for r in legacy.legacy_decisions(df, "id", "text").collect()}
+    df = spark.createDataFrame([(k, "lampu padam lagi") for k in range(4)] + [(9, "harga")], "id int, text string").withColumn("part", F.lit(None).cast("string"))
+    out = {r["id"]: r for r in legacy.legacy_decisions(df, "id", "text", "part").collect()}
     assert out[0]["cluster_id"] == 0 and out[9]["ambiguity_reason"].endswith("cluster_noise")
 
 
