@@ -6,9 +6,9 @@ read piece by piece. Repetition: a short body, nearly without names, all of whos
 different headlines is no page's content, whatever its wording; lines and headlines are counted over all records.
 Wordings that neither knows are found by likeness: each record has as cores all its lines outside the frame and its
 sentences and residue lines alone, both without numbers and names. Cores are sets of five-word shingles, whose rarest elements
-bring together all pairs of Jaccard similarity 0.8 or more (pigeonhole.py), pairs are verified by Hamming distance on a
-sketch and by the similarity of the sets, and a component that holds a seed, a trusted record without any sentence, is
-residue. A sentence beside a placeholder may be an article's, whose filled copies are none.
+bring together all pairs of Jaccard similarity 0.8 or more (pigeonhole.py) among the cores that can hang together with a
+seed, a trusted record without any sentence; pairs are verified by Hamming distance on a sketch and by the similarity of
+the sets, and a component that holds a seed is residue. A sentence beside a placeholder may be an article's, whose filled copies are none.
 
 Cases: null or blank text is no case; records without an id keep their null id; repeated rows come out as often as
 they go in; an empty table gives an empty one.
@@ -31,6 +31,8 @@ SHINGLE, SIMILARITY = 5, 800
 #: A body of up to BRIEF words, one in NAMES of them a name at most, is nobody's content if all its lines stand in such
 #: bodies under HEADLINES different headlines or more.
 BRIEF, NAMES, HEADLINES = 40, 5, 3
+#: Rows of 8 or, for bodies, up to 330 bytes that may be sent to all executors.
+BROADCAST = 200_000
 
 # Forms of unfilled placeholders in common template languages. A single brace counts only with a filter.
 _PLACEHOLDER = re.compile(
@@ -187,17 +189,15 @@ def repeated_bodies(pages: DataFrame) -> DataFrame:
 
 def propagate(pages: DataFrame) -> DataFrame:
     """Ids of all residue records. pages: id, trusted, seed (boolean), brief, head, cores (array of strings)."""
-    bad = repeated_bodies(pages).withColumn("bare", F.lit(True))
-    pages = stored(
-        pages.join(bad, "brief", "left").select("id", (F.col("trusted") | F.coalesce("bare", F.lit(False))).alias("trusted"), (F.col("seed") | F.coalesce("bare", F.lit(False))).alias("seed"), "cores"),
-        "trusted",
-    )
+    bad = stored(repeated_bodies(pages), "repeated").withColumn("bare", F.lit(True))
+    bare = F.coalesce("bare", F.lit(False))
+    pages = pages.join(_small(bad), "brief", "left").select("id", (F.col("trusted") | bare).alias("trusted"), (F.col("seed") | bare).alias("seed"), "cores")
     known = pages.where("trusted").select("id")
     each = pages.select("seed", F.explode("cores").alias("core"))
     cores = stored(each.groupBy(F.xxhash64("core").alias("node")).agg(F.max("seed").alias("seed"), F.min("core").alias("core")), "cores")
-    edges = stored(_near_cores(cores), "core-links")
-    labels, _ = components(edges)
-    own = cores.select("node", "seed").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    near = cores.join(_near_seeds(cores), "node", "left_semi")
+    labels, _ = components(stored(_near_cores(near), "core-links"))
+    own = near.select("node", "seed").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     bad = own.join(own.where("seed").select("root").distinct(), "root", "left_semi").select("node")
     rest = pages.where("NOT trusted").withColumn("row", F.monotonically_increasing_id())
     rows = rest.select("row", "id", F.explode("cores").alias("core")).select("row", "id", F.xxhash64("core").alias("node"))
@@ -205,45 +205,86 @@ def propagate(pages: DataFrame) -> DataFrame:
     return known.unionByName(found)
 
 
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
+def _near_seeds(cores: DataFrame) -> DataFrame:
+    """node of all cores that a chain of links can tie to a seed, and of some more.
+
+    A core has SIMILARITY of its shingles in common with each core that it is linked to. So cores are taken in that have as
+    many among the shingles of the seeds, then those that have as many among the shingles of the newly taken, until none
+    is left; articles, nearly all cores, are never sent to other tasks. A look at so few shingles of each core that one of
+    them must be among those comes first.
+    """
+    first = stored(cores.select("node", "core").mapInArrow(_core_shingles(True), "id long, n int, items array<long>"), "core-heads")
+    new = cores.where("seed").select("node")
+    taken: DataFrame | None = None
+    while True:
+        known = stored(_elements(cores.join(new, "node", "left_semi")).select("h").distinct(), "shingles")
+        taken = new if taken is None else taken.unionByName(new)
+        open_ = first.join(taken.withColumnRenamed("node", "id"), "id", "left_anti").select("id", F.explode("items").alias("h"))
+        hit = open_.join(_small(known), "h", "left_semi").select(F.col("id").alias("node")).distinct()
+        counted = _elements(cores.join(hit, "node", "left_semi")).join(_small(known.withColumn("in", F.lit(1))), "h", "left").groupBy("id", "n").agg(F.count("in").alias("common"))
+        new = stored(counted.where(F.col("common") * 1000 >= F.col("n") * SIMILARITY).select(F.col("id").alias("node")), "near-seeds")
+        if new.isEmpty():
+            return taken
+
+
+def _elements(cores: DataFrame) -> DataFrame:
+    return cores.select("node", "core").mapInArrow(_core_shingles(False), "id long, n int, items array<long>").select("id", "n", F.explode("items").alias("h"))
+
+
 def _near_cores(cores: DataFrame) -> DataFrame:
     """All links a < b between cores of similarity SIMILARITY or more."""
-    sets = stored(cores.select("node", "core").mapInArrow(_core_shingles, "id long, items array<long>"), "core-sets")
+    sets = stored(cores.select("node", "core").mapInArrow(_core_shingles(False), "id long, n int, items array<long>"), "core-sets")
     return verified(block_pairs(sets, SIMILARITY), sets, SIMILARITY).select("a", "b")
 
 
-def _core_shingles(batches):
-    """Distinct runs of SHINGLE words of each core, as 64-bit hashes; a core of fewer words is one run."""
-    import numpy as np
-    import pyarrow as pa
-    import pyarrow.compute as pc
-    import xxhash
-
-    odd = np.uint64(0x9E3779B97F4A7C15)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        words = pc.split_pattern(batch.column(1), " ")
-        n = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        known = words.flatten().dictionary_encode()
-        own = np.array([xxhash.xxh64_intdigest(w) for w in known.dictionary.to_pylist()], dtype=np.uint64)[known.indices.to_numpy(zero_copy_only=False)]
-        # words beyond the end of a short core count as zero
-        own = np.concatenate((own, np.zeros(SHINGLE, np.uint64)))
-        start = np.cumsum(n) - n
-        runs = np.maximum(n - SHINGLE + 1, 1)
-        row = np.repeat(np.arange(len(n)), runs)
-        k = np.arange(len(row)) - (np.cumsum(runs) - runs)[row]
-        at, left = start[row] + k, n[row] - k
-        h = np.zeros(len(row), np.uint64)
-        for j in range(SHINGLE):
-            h = h * odd + np.where(j < left, own[at + j], np.uint64(0))
-        h = (h ^ (h >> np.uint64(29))) * odd
-        h ^= h >> np.uint64(32)
-        order = np.lexsort((h, row))
-        h, row = h[order], row[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-        ends = np.concatenate(([0], np.cumsum(np.bincount(row[new], minlength=len(n))))).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(h[new].view(np.int64)))], names=["id", "items"])
+def _core_shingles(few: bool):
+    """Distinct runs of SHINGLE words of each core, as 64-bit hashes in their order, and their number; a core of fewer words
+    is one run. With few, only as many as can't all be missing in a set that has SIMILARITY of them."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        import xxhash
+
+        odd = np.uint64(0x9E3779B97F4A7C15)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words = pc.split_pattern(batch.column(1), " ")
+            n = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            known = words.flatten().dictionary_encode()
+            own = np.array([xxhash.xxh64_intdigest(w) for w in known.dictionary.to_pylist()], dtype=np.uint64)[known.indices.to_numpy(zero_copy_only=False)]
+            # words beyond the end of a short core count as zero
+            own = np.concatenate((own, np.zeros(SHINGLE, np.uint64)))
+            start = np.cumsum(n) - n
+            runs = np.maximum(n - SHINGLE + 1, 1)
+            row = np.repeat(np.arange(len(n)), runs)
+            k = np.arange(len(row)) - (np.cumsum(runs) - runs)[row]
+            at, left = start[row] + k, n[row] - k
+            h = np.zeros(len(row), np.uint64)
+            for j in range(SHINGLE):
+                h = h * odd + np.where(j < left, own[at + j], np.uint64(0))
+            h = (h ^ (h >> np.uint64(29))) * odd
+            h ^= h >> np.uint64(32)
+            order = np.lexsort((h, row))
+            h, row = h[order], row[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+            h, row = h[new], row[new]
+            size = np.bincount(row, minlength=len(n))
+            if few:
+                place = np.arange(len(h)) - (np.cumsum(size) - size)[row]
+                keep = place < (size - -(-size * SIMILARITY // 1000) + 1)[row]
+                h, row = h[keep], row[keep]
+            ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(n))))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(h.view(np.int64)))], names=["id", "n", "items"])
+
+    return run
 
 
 def residue_records(
