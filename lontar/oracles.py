@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .config import HIGH_CONFIDENCE, LABELS, NEGATIONS, REVIEW, RULE_ALPHA, SIMILARITY_BETA, TEMPERATURE_GRID, THRESHOLD_GRID, TOKEN, TRACKING, WEAK_THRESHOLD
+from .config import ABBREVIATIONS, HIGH_CONFIDENCE, LABELS, NEGATIONS, REVIEW, RULE_ALPHA, SIMILARITY_BETA, SPAN_MAX, SPAN_MIN, TEMPERATURE_GRID, THRESHOLD_GRID, TOKEN, TRACKING, WEAK_THRESHOLD
 from .operators.fusion import policy_grid
 from .operators.lexicon import Rules
 from .oracle_rules import engine, keyword_ranks, token_rows
@@ -374,3 +374,38 @@ SELECT CASE WHEN n = '' THEN 'empty' WHEN n IN (SELECT n FROM g WHERE s) THEN 's
 SELECT code, array_to_string(list_transform(list_zip(regexp_split_to_array(lower(p), '\\pL+'), regexp_extract_all(lower(p), '\\pL+')), lambda z: z[1] || coalesce(upper(substr(z[2], 1, 1)) || substr(z[2], 2), '')), '') AS place,
   regexp_replace(lower(name), '[^\\pL\\pN]+', '', 'g') AS key FROM g""",
 }
+
+
+def _last_place(d: str) -> str:
+    """Offset of the last d in the first SPAN_MAX characters of rest, -1 without one."""
+    p = f"substr(rest, 1, {SPAN_MAX})"
+    return f"CASE WHEN contains({p}, '{d}') THEN length({p}) - strpos(reverse({p}), reverse('{d}')) + 1 - length('{d}') ELSE -1 END"
+
+
+_LEAST_CUT = max(40, int(SPAN_MAX * 0.45))
+_CUT_AT = "CASE " + " ".join(f"WHEN ({_last_place(d)}) >= {_LEAST_CUT} THEN ({_last_place(d)}) + length('{d}')" for d in (", ", " - ", " — ", " – ", ": ", " ")) + f" ELSE {SPAN_MAX} END"
+ORACLES |= {
+    "labeling_sample": f"""WITH RECURSIVE ready AS (SELECT DISTINCT text_id, source_type, aspect, -coalesce(evidence_support_score, 0.0) AS o1, -coalesce(raw_text_length, 0) AS o2 FROM candidate_labeling_dataset WHERE {_READY}),
+member AS (SELECT text_id, o1, o2, 'source_type' AS c, source_type AS v FROM ready UNION ALL SELECT text_id, o1, o2, 'aspect', aspect FROM ready),
+bucket AS (SELECT c, v, list(text_id ORDER BY o1, o2, text_id) AS ids, row_number() OVER (ORDER BY count(*), c, v) AS seq FROM member GROUP BY c, v),
+pick(seq, taken, own) AS (SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[])
+  UNION ALL SELECT b.seq, list_concat(p.taken, list_slice(list_filter(b.ids, lambda x: NOT list_contains(p.taken, x)), 1, 10)), list_slice(list_filter(b.ids, lambda x: NOT list_contains(p.taken, x)), 1, 10)
+  FROM pick p JOIN bucket b ON b.seq = p.seq + 1)
+SELECT unnest(own) AS text_id, c AS labeling_bucket_column, v AS labeling_bucket_value FROM pick JOIN bucket USING (seq)""",
+    "sentence_spans": f"""WITH RECURSIVE flat AS (SELECT DISTINCT text_id, {_squeeze("coalesce(text, '')")} AS t FROM candidate_labeling_dataset),
+mark AS (SELECT text_id, t, i, substr(t, i, 1) AS c, substr(t, i + 1, 1) AS nxt, lower(substr(t, greatest(1, i - 24), least(24, i - 1)) || '.' || substr(t, i + 1, 23)) AS around,
+  rtrim(lower(coalesce(string_split(trim(substr(t, 1, i - 1)), ' ')[-1], '')), '.') AS word FROM (SELECT text_id, t, unnest(list_filter(range(1, length(t) + 1), lambda j: substr(t, j, 1) IN ('.', '!', '?', ';'))) AS i FROM flat)),
+stop AS (SELECT text_id, list(i ORDER BY i) AS ends FROM mark WHERE nxt IN ('', ' ', '"', '\'\'', ')', ']', '}}')
+  AND (c <> '.' OR (NOT regexp_matches(around, 'www\\.|http://|https://|\\.com|\\.co\\.|\\.go\\.|\\.id|@') AND word NOT IN ({", ".join(repr(x) for x in sorted(ABBREVIATIONS))}))) GROUP BY text_id),
+cuts AS (SELECT text_id, t, coalesce(ends, CAST([] AS BIGINT[])) AS e FROM flat LEFT JOIN stop USING (text_id) WHERE t <> ''),
+rough AS (SELECT text_id, list_filter(list_transform(range(1, len(e) + 2), lambda k: trim(substr(t, CASE WHEN k = 1 THEN 1 ELSE e[k - 1] + 1 END, CASE WHEN k > len(e) THEN length(t) ELSE e[k] - CASE WHEN k = 1 THEN 0 ELSE e[k - 1] END END))), lambda x: x <> '') AS r FROM cuts),
+merged(text_id, k, held, done) AS (SELECT text_id, 0, '', CAST([] AS VARCHAR[]) FROM rough
+  UNION ALL SELECT text_id, k + 1, CASE WHEN length(h) >= {SPAN_MIN} THEN '' ELSE h END, CASE WHEN length(h) >= {SPAN_MIN} THEN list_append(done, h) ELSE done END
+  FROM (SELECT m.text_id, k, done, CASE WHEN held = '' THEN r[k + 1] ELSE held || ' ' || r[k + 1] END AS h FROM merged m JOIN rough USING (text_id) WHERE k < len(r))),
+whole AS (SELECT text_id, CASE WHEN held = '' THEN done WHEN len(done) = 0 THEN [held] ELSE list_append(done[1:len(done) - 1], done[len(done)] || ' ' || held) END AS spans FROM merged JOIN rough USING (text_id) WHERE k = len(r)),
+piece(text_id, n, out, rest) AS (SELECT text_id, k, CAST(NULL AS VARCHAR), spans[k] FROM (SELECT text_id, spans, unnest(range(1, len(spans) + 1)) AS k FROM whole)
+  UNION ALL SELECT text_id, n, trim(substr(rest, 1, at_char)), trim(substr(rest, at_char + 1)) FROM (SELECT *, {_CUT_AT} AS at_char FROM piece WHERE length(rest) > {SPAN_MAX})),
+parts AS (SELECT text_id, out AS x FROM piece WHERE out <> '' UNION ALL SELECT text_id, rest FROM piece WHERE length(rest) <= {SPAN_MAX} AND rest <> ''),
+sized AS (SELECT text_id, count(*) AS n, max(length(x)) AS longest FROM parts GROUP BY text_id)
+SELECT CAST(n AS INTEGER) AS sentence_count, CAST(sum(n) AS BIGINT) AS jumlah, max(longest) AS longest FROM sized GROUP BY n""",
+}
