@@ -409,3 +409,32 @@ parts AS (SELECT text_id, out AS x FROM piece WHERE out <> '' UNION ALL SELECT t
 sized AS (SELECT text_id, count(*) AS n, max(length(x)) AS longest FROM parts GROUP BY text_id)
 SELECT CAST(n AS INTEGER) AS sentence_count, CAST(sum(n) AS BIGINT) AS jumlah, max(longest) AS longest FROM sized GROUP BY n""",
 }
+
+_S = _url("source_url")
+_URL_TITLE = f"""{_squeeze("regexp_replace(array_to_string(CASE WHEN len(p) > 2 THEN p[len(p) - 1:] ELSE p END, ' '), '[_-]+', ' ', 'g')")}"""
+_SEGMENTS = ", ".join(_squeeze(f"coalesce({c}, '')") for c in ("content_title", "raw_title", "snippet", "content_description", "url_title", "content_text"))
+
+
+def _has(c: str, *terms: str) -> str:
+    return "(" + " OR ".join(f"contains(lower({c}), '{t}')" for t in terms) + ")"
+
+
+ORACLES |= {
+    "candidate_building": f"""WITH one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY canonical_url ORDER BY record_id) AS nth FROM url_discovery) WHERE nth = 1 OR NOT {_filled("canonical_url")}),
+a AS (SELECT *, coalesce(nullif({_strip("canonical_url")}, ''), nullif({_strip("url")}, ''), '') AS source_url FROM one),
+b AS (SELECT *, list_filter(list_transform(string_split({_S["path"]}, '/'), lambda x: {_strip("x")}), lambda x: x <> '') AS p, concat_ws(' ', coalesce(domain, ''), source_url) AS place FROM a),
+c AS (SELECT *, [{_SEGMENTS}] AS seg FROM (SELECT *, {_URL_TITLE} AS url_title FROM b)),
+d AS (SELECT record_id, place, source_url, coalesce(query, '') AS q, coalesce(content_status = 'success', false) AND {_filled("content_text")} AS ok,
+  array_to_string(list_filter(seg, lambda x, i: x <> '' AND NOT list_contains(list_transform(seg[1:i - 1], lambda y: lower(y)), lower(x))), ' ') AS text FROM c),
+g AS (SELECT DISTINCT lower({_strip("name")}) AS alias FROM gazetteer WHERE {_filled("name")}),
+l AS (SELECT record_id, bool_or(regexp_matches(lower(text), {_PLACE}) OR regexp_matches(lower(q), {_PLACE}) OR regexp_matches(lower(source_url), {_PLACE})) AS found FROM d CROSS JOIN g GROUP BY record_id),
+f AS (SELECT d.*, found, {_has("place", "toko")} AS excluded, {_has("place", "forum")} AS social, {_has("source_url || ' ' || text", "surya", "listrik", "panel")} AS relevant, {_first_group("text")} AS aspect FROM d JOIN l USING (record_id)),
+r AS (SELECT CASE WHEN NOT ok OR excluded THEN 'C_holdout_excluded' WHEN relevant AND NOT social THEN 'A_candidate_core' ELSE 'B_review_queue' END AS dataset_tier,
+  CASE WHEN social THEN 'social_media' WHEN {_has("place", "repository", "journal", "researchgate", "ac.id")} THEN 'academic_repository' WHEN {_has("place", "go.id", "pln.co.id")} THEN 'government_official'
+    WHEN {_has("place", "company", "corporate")} THEN 'corporate_official' ELSE 'online_news' END AS source_type, aspect,
+  coalesce(nullif(concat_ws('; ', CASE WHEN NOT ok THEN 'content_not_success' END, CASE WHEN NOT relevant THEN 'keyword_relevance_needs_review' END, CASE WHEN social THEN 'social_domain_review' END,
+    CASE WHEN excluded THEN 'excluded_domain' END), ''), 'candidate_from_raw_discovery') AS decision_note,
+  round(least(0.35::DOUBLE * ok::INT + 0.25::DOUBLE * relevant::INT + 0.2::DOUBLE * found::INT + 0.1::DOUBLE * (length(text) >= 80)::INT + 0.1::DOUBLE * (NOT social AND NOT excluded)::INT, 1.0), 2) AS support FROM f)
+SELECT dataset_tier, source_type, aspect, decision_note, count(*) AS jumlah, round(avg(support), 4) AS mean_support FROM r GROUP BY 1, 2, 3, 4""",
+    "url_exact": f"SELECT record_id, {_U['normal']} AS normal FROM url_discovery",
+}
