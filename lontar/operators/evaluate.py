@@ -17,6 +17,11 @@ def rating_label(rating: Column) -> Column:
     return F.when(r >= 4, "positif").when(r <= 2, "negatif").otherwise("netral")
 
 
+def with_rating(df: DataFrame, rating: str, column: str = "sentiment_label") -> DataFrame:
+    """df with the label of its rating."""
+    return df.withColumn(column, rating_label(F.col(rating)))
+
+
 def _known(c: Column, labels: Sequence[str]) -> Column:
     return F.when(c.isin(*labels), c).otherwise("netral")
 

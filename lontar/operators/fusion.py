@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import HIGH_CONFIDENCE, HIGH_GRID, LABELS, REVIEW, REVIEW_GRID, RULE_ALPHA, SIMILARITY_BETA, UNCERTAINTY_WEIGHTS, WEIGHT_GRID
 from ..functions.numeric import clamp01, number, row_entropy
 from ..functions.text import filled
+from ..schemas import require_columns
 
 
 def valid_evidence(status: Column, hits: Column | None = None) -> Column:
@@ -133,3 +134,11 @@ def ambiguity(rule_label: Column, rule_confidence: Column, semantic_label: Colum
     final = F.when(unsure, rule_first).otherwise(F.when(semantic != "netral", semantic).otherwise(rule))
     source = F.when(unsure, "non_llm_ambiguous").otherwise("automatic")
     return F.struct(unsure.alias("is_ambiguous"), F.array_join(reasons, ", ").alias("ambiguity_reason"), final.alias("final_label"), source.alias("decision_source"))
+
+
+def with_ambiguity(df: DataFrame, alpha: float = RULE_ALPHA, beta: float = SIMILARITY_BETA) -> DataFrame:
+    """df (rule_label, rule_confidence, semantic_label, semantic_similarity, cluster_id) with the columns of ambiguity();
+    KeyError names the columns that it lacks."""
+    needed = ("rule_label", "rule_confidence", "semantic_label", "semantic_similarity", "cluster_id")
+    d = ambiguity(*[F.col(c) for c in needed], alpha, beta)
+    return require_columns(df, needed).withColumn("_d", d).select("*", "_d.*").drop("_d")

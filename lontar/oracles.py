@@ -438,3 +438,4 @@ r AS (SELECT CASE WHEN NOT ok OR excluded THEN 'C_holdout_excluded' WHEN relevan
 SELECT dataset_tier, source_type, aspect, decision_note, count(*) AS jumlah, round(avg(support), 4) AS mean_support FROM r GROUP BY 1, 2, 3, 4""",
     "url_exact": f"SELECT record_id, {_U['normal']} AS normal FROM url_discovery",
 }
+ORACLES["csv_round_trip"] = "SELECT record_id, md5(content_text) AS digest, http_status FROM url_discovery WHERE content_text IS NOT NULL AND content_text <> ''"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import hash_embedding
 from ..operators.cluster import leader_clusters
-from ..operators.fusion import ambiguity
+from ..operators.fusion import with_ambiguity
 from ..operators.lexicon import Rules, score_texts
 from ..runtime import ship
 
@@ -19,5 +19,4 @@ def legacy_decisions(df: DataFrame, id_col: str, text: str, group: str, rules: R
     scored = score_texts(df, text, rules).withColumn("embedding_backend", F.lit("hashing")).withColumn("_vector", hash_embedding()(F.col(text)))
     clusters = leader_clusters(scored, id_col, "_vector", "rule_label", group)
     out = scored.join(clusters, [id_col, group])
-    d = ambiguity(F.col("rule_label"), F.col("rule_confidence"), F.col("semantic_label"), F.col("semantic_similarity"), F.col("cluster_id"))
-    return out.withColumn("_d", d).select("*", "_d.*").drop("_d", "_vector")
+    return with_ambiguity(out).drop("_vector")

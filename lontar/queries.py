@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import oracles
+from . import oracles, tables
 from .config import LABELS
 from .functions import match, numeric, text, urls
 from .operators import calibration, cluster, curation, evaluate, fusion, lookup, profile, providers, relational, sampling, spans, topics
@@ -16,6 +17,7 @@ from .operators.lexicon import Rules, evidence_payload, score_texts, word_scores
 from .plans import flagship, legacy, policy
 from .plans import model_only as model_only_plan
 from .schemas import check_domain, require_columns
+from .sources import readers, sinks
 from .terms import ASPECTS, LOCAL_TERMS, OUTSIDE_TERMS, PHRASES, SOURCE_LIST, WORDS
 
 LOGITS = ["z_negatif", "z_netral", "z_positif"]
@@ -361,6 +363,13 @@ def canonical_places(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "gazetteer").select("code", lookup.canonical_place(n).alias("place"), lookup.place_key(n).alias("key"))
 
 
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Crawl records with their texts written as CSV, in quotes with line ends in them, and read back."""
+    u = _t(spark, d, "url_discovery").where("content_text IS NOT NULL AND content_text <> ''").select("record_id", "content_text", "http_status")
+    path = sinks.save(u, f"{tables.shared_folder(spark)}/lontar-csv-{uuid.uuid4().hex[:12]}.csv")
+    return readers.read_csv_any(spark, path, u.schema).select("record_id", F.md5("content_text").alias("digest"), "http_status")
+
+
 def softmax_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = providers.from_logits(_opinions(spark, d), LOGITS, 1.7)
     return rows.select("doc_id", "bert_label", *[F.round(f"bert_prob_{x}", 6).alias(f"p_{x}") for x in LABELS], F.round("bert_margin", 6).alias("margin"), F.round("bert_entropy", 6).alias("entropy"))
@@ -419,7 +428,8 @@ def class_weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rating_labels(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "lineitem").groupBy(evaluate.rating_label(F.col("l_quantity") % 6).alias("label")).agg(F.count(F.lit(1)).alias("jumlah"))
+    rows = evaluate.with_rating(_t(spark, d, "lineitem").withColumn("rating", F.col("l_quantity") % 6), "rating", "label")
+    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("jumlah"))
 
 
 def topic_keywords(spark: SparkSession, d: str) -> DataFrame:
@@ -452,10 +462,9 @@ def leader_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ambiguity_decisions(spark: SparkSession, d: str) -> DataFrame:
-    rows = _labelled(spark, d)
     k = F.conv(F.substring(F.md5("text_id"), 20, 4), 16, 10).cast("bigint")
-    out = fusion.ambiguity(F.col("rule_label"), F.col("rule_confidence"), F.col("bert_label"), (k % 100) / 100.0, (k % 7 - 1).cast("int"))
-    return rows.select("text_id", out.alias("o")).select("text_id", "o.*")
+    rows = _labelled(spark, d).withColumns({"semantic_label": F.col("bert_label"), "semantic_similarity": (k % 100) / 100.0, "cluster_id": (k % 7 - 1).cast("int")})
+    return fusion.with_ambiguity(rows).select("text_id", "is_ambiguous", "ambiguity_reason", "final_label", "decision_source")
 
 
 def legacy_flow(spark: SparkSession, d: str) -> DataFrame:
@@ -530,7 +539,7 @@ QUERIES = {
         uncertainty_scores, fusion_decisions, fusion_facts, policy_search, confusion_matrix, label_metrics, component_metrics, metric_deltas, probability_metrics,
         threshold_sweep, threshold_choice, class_weights, rating_labels, topic_keywords, topic_summaries, vector_neighbours, centroid_similarity, hashed_vectors,
         leader_clusters, ambiguity_decisions, legacy_flow, lexicon_evidence, evidence_payloads, keyword_rows, model_only, model_gates, split_metrics, policy_applied, scatter_points,
-        report_values, statement_roles, projection, screened_rows, filtered_records, invalid_labels, checked_labels, distinct_lines, text_previews, adjudicated, location_scopes, canonical_places, group_leakage, fold_assignment, split_join, metadata_recovery, gazetteer_levels, location_coverage,
+        csv_round_trip, report_values, statement_roles, projection, screened_rows, filtered_records, invalid_labels, checked_labels, distinct_lines, text_previews, adjudicated, location_scopes, canonical_places, group_leakage, fold_assignment, split_join, metadata_recovery, gazetteer_levels, location_coverage,
         combination_audit, event_props, orders_first, lineitem_profile, customer_region,
     )
 }

@@ -149,6 +149,14 @@ def read_list(path: str | Path) -> list[str]:
     return list(dict.fromkeys(str(x).strip() for x in data if str(x).strip()))
 
 
+def latest_checkpoint(folder: str | Path, name: str = "trainer_state.json") -> Path | None:
+    """The log of the checkpoint with the greatest number in a training folder, else the folder's own, else none."""
+    root = Path(folder)
+    numbered = [(int(p.parent.name.rpartition("-")[2]), p) for p in root.glob(f"checkpoint-*/{name}") if p.parent.name.rpartition("-")[2].isdigit()]
+    own = root / name
+    return max(numbered)[1] if numbered else own if own.exists() else None
+
+
 def training_history(path: str | Path) -> list[dict]:
     """Numeric entries of a trainer's log, in their order."""
     log = read_object(path, missing_ok=True).get("log_history", [])

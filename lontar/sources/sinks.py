@@ -29,7 +29,8 @@ def save(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
     elif suffix in ("json", "jsonl"):
         w.json(path)
     else:
-        w.option("header", True).option("escape", '"').csv(path)
+        # values as they are, with the blanks at their ends
+        w.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return path
 
 

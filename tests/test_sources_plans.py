@@ -162,3 +162,12 @@ def test_location_scope(spark):
 def test_training_history(tmp_path):
     (tmp_path / "s.json").write_text(json.dumps({"log_history": [{"epoch": 1, "loss": 0.5, "note": "x", "ok": True}]}))
     assert readers.training_history(tmp_path / "s.json") == [{"epoch": 1, "loss": 0.5}] and readers.training_history(tmp_path / "no.json") == []
+
+
+def test_latest_checkpoint(tmp_path):
+    assert readers.latest_checkpoint(tmp_path) is None
+    own = sinks.save_json({}, tmp_path / "trainer_state.json")
+    assert readers.latest_checkpoint(tmp_path) == own
+    for n in (90, 120, 7):
+        sinks.save_json({"log_history": [{"loss": n, "name": "x"}]}, tmp_path / f"checkpoint-{n}" / "trainer_state.json")
+    assert readers.training_history(readers.latest_checkpoint(tmp_path)) == [{"loss": 120}]
