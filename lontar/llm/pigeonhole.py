@@ -12,8 +12,10 @@ distance never exceeds that of the sets, and then on the sets themselves.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..runtime import ship
 from .shared import forget, stored
 
 #: Words of 64 bits of the parity sketch: enough for sets of some hundred elements to differ visibly.
@@ -32,11 +34,27 @@ def prefix_length(n: Column, permille: int) -> Column:
     return n - least_common(n, permille) + 1
 
 
-def sketch_words(h: Column) -> list[Column]:
-    """Aggregates of the sketch: bit k tells whether an odd number of elements falls on k."""
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(F.lit(63)).cast("int"))
-    word = F.shiftrightunsigned(h, 6) % SKETCH
-    return [F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"f{k}") for k in range(SKETCH)]
+def parity(items):
+    """Words of the sketches of the sets of a list array: bit k tells whether an odd number of elements falls on k."""
+    import numpy as np
+
+    v = items.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    length = items.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    start = np.concatenate(([0], np.cumsum(length)))
+    bit = np.left_shift(np.uint64(1), v & np.uint64(63))
+    word = (v >> np.uint64(6)) % np.uint64(SKETCH)
+    out = []
+    for k in range(SKETCH):
+        run = np.concatenate(([np.uint64(0)], np.bitwise_xor.accumulate(np.where(word == k, bit, np.uint64(0))))) if len(v) else np.zeros(1, np.uint64)
+        out.append((run[start[1:]] ^ run[start[:-1]]).view(np.int64))
+    return out
+
+
+def _sketches(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(w) for w in parity(batch.column(1))]], names=["id", *[f"f{k}" for k in range(SKETCH)]])
 
 
 def block_pairs(sets: DataFrame, permille: int, two_sided: bool = False, hot: int = HOT) -> DataFrame:
@@ -45,28 +63,32 @@ def block_pairs(sets: DataFrame, permille: int, two_sided: bool = False, hot: in
     sets: id, items array<bigint> (distinct); with two_sided also left, right boolean, and then only pairs with a left
     and a right member. No pair of Jaccard similarity permille / 1000 or more is lost.
     """
+    ship(sets.sparkSession)
     sides = ["left", "right"] if two_sided else []
-    each = sets.select("id", *sides, F.explode("items").alias("h"))
+    each = sets.select("id", F.size("items").alias("n"), *sides, F.explode("items").alias("h"))
     if two_sided:
         counted = each.groupBy("h").agg((F.count_if("left") * F.count_if("right")).alias("pairs"))
     else:
         n = F.count(F.lit(1))
         counted = each.groupBy("h").agg(F.floor(n * (n - 1) / 2).cast("bigint").alias("pairs"))
-    met = each.select("id", "h").join(counted.where("pairs > 0"), "h")
-    # the elements of one text, from the rarest
-    own = met.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pairs", "h"))).alias("e"), *sketch_words(F.col("h")))
-    size = F.size("items")
-    sized = sets.select("id", size.alias("n"), prefix_length(size, permille).alias("keep"), (least_common(size, permille) < 2).alias("tiny"), *sides)
-    r = sized.join(own, "id").withColumn("alone", F.col("n") - F.size("e")).withColumn("reach", F.col("keep") - F.col("alone")).where("reach > 0")
-    frequent = F.filter(F.slice("e", F.lit(1), F.col("reach") + 1), lambda x: x["pairs"] > hot)
-    keys = F.concat(
-        F.transform(F.filter(F.slice("e", F.lit(1), F.col("reach")), lambda x: (x["pairs"] <= hot) | F.col("tiny")), lambda x: x["h"]),
-        F.flatten(F.transform(frequent, lambda x, i: F.transform(F.slice(frequent, i + 2, F.size(frequent)), lambda y: F.xxhash64(x["h"], y["h"])))),
-    )
-    rows = stored(r.select("id", "n", "alone", *[f"f{k}" for k in range(SKETCH)], *sides, F.explode(keys).alias("h")), "blocks")
+    met = each.join(counted.where("pairs > 0"), "h")
+    # a window holds the elements of one text, from the rarest
+    ranked = met.withColumns({"rank": F.row_number().over(W.partitionBy("id").orderBy("pairs", "h")), "met": F.count(F.lit(1)).over(W.partitionBy("id").orderBy("pairs", "h").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
+    reach = prefix_length(F.col("n"), permille) - (F.col("n") - F.col("met"))
+    near = ranked.withColumn("reach", reach).where((F.col("reach") > 0) & (F.col("rank") <= F.col("reach") + 1))
+    tiny = least_common(F.col("n"), permille) < 2
+    near = stored(near.select("id", "n", *sides, "h", (F.col("rank") <= F.col("reach")).alias("inside"), (F.col("pairs") > hot).alias("hot"), tiny.alias("tiny")), "prefixes")
+    single = near.where("inside AND (tiny OR NOT hot)").select("id", "n", *sides, "h")
+    # the frequent elements of one text's prefix, in a fixed order
+    frequent = near.where("hot").groupBy("id", "n", *sides).agg(F.array_sort(F.collect_list("h")).alias("e")).where(F.size("e") > 1)
+    both = F.flatten(F.transform("e", lambda x, i: F.transform(F.slice("e", i + 2, F.size("e")), lambda y: F.xxhash64(x, y))))
+    keyed = single.unionByName(frequent.select("id", "n", *sides, F.explode(both).alias("h")))
+    words = sets.select("id", "items").mapInArrow(_sketches, f"id {sets.schema['id'].dataType.simpleString()}, {', '.join(f'f{k} long' for k in range(SKETCH))}")
+    rows = stored(keyed.join(words, "id"), "blocks")
+    forget(near)
     a, b = (rows.where("left"), rows.where("right")) if two_sided else (rows, rows)
     a, b = a.alias("a"), b.alias("b")
-    differ = sum((F.bit_count(F.col(f"a.f{k}").bitwiseXOR(F.col(f"b.f{k}"))) for k in range(SKETCH)), F.col("a.alone") + F.col("b.alone"))
+    differ = sum((F.bit_count(F.col(f"a.f{k}").bitwiseXOR(F.col(f"b.f{k}"))) for k in range(SKETCH)), F.lit(0))
     joined = a.join(b, F.col("a.h") == F.col("b.h")).where(F.col("a.id") != F.col("b.id") if two_sided else F.col("a.id") < F.col("b.id"))
     pairs = stored(
         joined.where(F.least("a.n", "b.n") * 1000 >= F.greatest("a.n", "b.n") * permille)
