@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .pigeonhole import HOT, block_pairs, verified
-from .shared import columns_as, joined_words, shingles, stored
+from .shared import columns_as, forget, joined_words, shingles, stored
 
 
 @dataclass(frozen=True)
@@ -41,9 +41,14 @@ def near_duplicates(df: DataFrame, id_col: str = "text_id", text_col: str = "tex
     classes = own.groupBy("key").agg(F.min("id").alias("rep"), F.min("text").alias("text"))
     reps = stored(classes.select("key", F.col("rep").alias("id"), shingles(F.split("text", " "), run).alias("items")), "classes")
     sets = reps.select("id", "items")
-    links = verified(block_pairs(sets, permille, hot=hot), sets, permille)
+    pairs = block_pairs(sets, permille, hot=hot)
+    links = stored(verified(pairs, sets, permille), "links")
+    forget(pairs)
     members = own.select("id", "key").join(reps.select("key", F.col("id").alias("rep")), "key").select("id", "rep")
-    return NearDuplicates(stored(links, "links"), stored(members, "members"))
+    out = NearDuplicates(links, stored(members, "members"))
+    forget(own)
+    forget(reps)
+    return out
 
 
 #: Copies of one wording up to which pairs of all of them are listed.

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import blocks as B
 from .components import components
 from .pigeonhole import block_pairs, verified
-from .shared import stored
+from .shared import forget, stored
 
 #: Words of a shingle, and the least Jaccard similarity of a link, in thousandths.
 SHINGLE, SIMILARITY = 5, 800
@@ -196,7 +196,7 @@ def propagate(pages: DataFrame) -> DataFrame:
     each = pages.select("seed", F.explode("cores").alias("core"))
     cores = stored(each.groupBy(F.xxhash64("core").alias("node")).agg(F.max("seed").alias("seed"), F.min("core").alias("core")), "cores")
     near = cores.join(_near_seeds(cores), "node", "left_semi")
-    labels, _ = components(stored(_near_cores(near), "core-links"))
+    labels, _ = components(_near_cores(near))
     own = near.select("node", "seed").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     bad = own.join(own.where("seed").select("root").distinct(), "root", "left_semi").select("node")
     rest = pages.where("NOT trusted").withColumn("row", F.monotonically_increasing_id())
@@ -227,7 +227,9 @@ def _near_seeds(cores: DataFrame) -> DataFrame:
         hit = open_.join(_small(known), "h", "left_semi").select(F.col("id").alias("node")).distinct()
         counted = _elements(cores.join(hit, "node", "left_semi")).join(_small(known.withColumn("in", F.lit(1))), "h", "left").groupBy("id", "n").agg(F.count("in").alias("common"))
         new = stored(counted.where(F.col("common") * 1000 >= F.col("n") * SIMILARITY).select(F.col("id").alias("node")), "near-seeds")
+        forget(known)
         if new.isEmpty():
+            forget(first)
             return taken
 
 
@@ -236,9 +238,13 @@ def _elements(cores: DataFrame) -> DataFrame:
 
 
 def _near_cores(cores: DataFrame) -> DataFrame:
-    """All links a < b between cores of similarity SIMILARITY or more."""
+    """All links a < b between cores of similarity SIMILARITY or more, stored."""
     sets = stored(cores.select("node", "core").mapInArrow(_core_shingles(False), "id long, n int, items array<long>"), "core-sets")
-    return verified(block_pairs(sets, SIMILARITY), sets, SIMILARITY).select("a", "b")
+    pairs = block_pairs(sets, SIMILARITY)
+    links = stored(verified(pairs, sets, SIMILARITY).select("a", "b"), "core-links")
+    forget(pairs)
+    forget(sets)
+    return links
 
 
 def _core_shingles(few: bool):

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..runtime import ship
 from .near_duplicates import COPIES, thinned, wordings
 from .pigeonhole import HOT, block_pairs, verified
-from .shared import norm_split, shingles, stored
+from .shared import forget, norm_split, shingles, stored
 
 
 @dataclass(frozen=True)
@@ -47,10 +47,14 @@ def split_overlap(
     classes = stored(classes, "classes")
     words = F.split("text", " ")
     sets = stored(classes.select("id", "left", "right", shingles(words, 2).alias("items")), "sets")
-    links = verified(block_pairs(sets, permille, two_sided=True, hot=hot), sets, permille)
+    pairs = block_pairs(sets, permille, two_sided=True, hot=hot)
+    links = verified(pairs, sets, permille)
     same = sets.where("left AND right").select(F.col("id").alias("a"), F.col("id").alias("b"), F.size("items").alias("common"), F.size("items").alias("total"))
     members = own.select("id", "key", "split", "source").join(classes.select("key", F.col("id").alias("rep")), "key").drop("key")
-    return SplitOverlap(stored(links.unionByName(same), "links"), stored(members, "members"), classes.select("id", "text"))
+    out = SplitOverlap(stored(links.unionByName(same), "links"), stored(members, "members"), classes.select("id", "text"))
+    for done in (pairs, sets, own):
+        forget(done)
+    return out
 
 
 def record_pairs(result: SplitOverlap, train: tuple[str, ...] = ("train",), copies: int = COPIES) -> DataFrame:
