@@ -189,50 +189,65 @@ def repeated_bodies(pages: DataFrame) -> DataFrame:
 
 def propagate(pages: DataFrame) -> DataFrame:
     """Ids of all residue records. pages: id, trusted, seed (boolean), brief, head, cores (array of strings)."""
-    bad = stored(repeated_bodies(pages), "repeated").withColumn("bare", F.lit(True))
-    bare = F.coalesce("bare", F.lit(False))
-    pages = pages.join(_small(bad), "brief", "left").select("id", (F.col("trusted") | bare).alias("trusted"), (F.col("seed") | bare).alias("seed"), "cores")
-    known = pages.where("trusted").select("id")
-    each = pages.select("seed", F.explode("cores").alias("core"))
-    cores = stored(each.groupBy(F.xxhash64("core").alias("node")).agg(F.max("seed").alias("seed"), F.min("core").alias("core")), "cores")
-    near = cores.join(_near_seeds(cores), "node", "left_semi")
+    repeated = _small(stored(repeated_bodies(pages), "repeated"))
+
+    def marked(by: str) -> DataFrame:
+        # only short bodies meet the repeated ones, so that whole pages are never moved
+        return pages.where(by).unionByName(pages.where(f"NOT {by} AND brief IS NOT NULL").join(repeated, "brief", "left_semi"))
+
+    known = marked("trusted").select("id")
+    seeds = stored(_nodes(marked("seed")).select("node").distinct(), "seeds")
+    near = _near_seeds(_nodes(pages), seeds)
     labels, _ = components(_near_cores(near))
-    own = near.select("node", "seed").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    bad = own.join(own.where("seed").select("root").distinct(), "root", "left_semi").select("node")
+    own = near.select("node").join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    bad = stored(own.join(own.join(seeds, "node", "left_semi").select("root").distinct(), "root", "left_semi").select("node"), "residue-cores")
+    forget(seeds)
     rest = pages.where("NOT trusted").withColumn("row", F.monotonically_increasing_id())
-    rows = rest.select("row", "id", F.explode("cores").alias("core")).select("row", "id", F.xxhash64("core").alias("node"))
-    found = rows.join(bad, "node", "left_semi").dropDuplicates(["row"]).select("id")
-    return known.unionByName(found)
+    found = _nodes(rest, "row", "id", "brief").join(_small(bad), "node", "left_semi").dropDuplicates(["row"])
+    return known.unionByName(found.join(repeated, "brief", "left_anti").select("id"))
+
+
+def _nodes(pages: DataFrame, *keep: str) -> DataFrame:
+    """node, core of each core of each page, as often as pages have it."""
+    return pages.select(*keep, F.explode("cores").alias("core")).select(*keep, F.xxhash64("core").alias("node"), "core")
 
 
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST else df
 
 
-def _near_seeds(cores: DataFrame) -> DataFrame:
-    """node of all cores that a chain of links can tie to a seed, and of some more.
+def _near_seeds(cores: DataFrame, seeds: DataFrame) -> DataFrame:
+    """node, core, each once, of all cores that a chain of links can tie to a seed, and of some more.
 
     A core has SIMILARITY of its shingles in common with each core that it is linked to. So cores are taken in that have as
     many among the shingles of the seeds, then those that have as many among the shingles of the newly taken, until none
-    is left; articles, nearly all cores, are never sent to other tasks. A look at so few shingles of each core that one of
-    them must be among those comes first.
+    is left. A look at so few shingles of each core that one of them must be among those comes first, and only what it
+    finds is moved: the length of the chains decides how often the cores are read, and nothing else of their number.
     """
-    first = stored(cores.select("node", "core").mapInArrow(_core_shingles(True), "id long, n int, items array<long>"), "core-heads")
-    new = cores.where("seed").select("node")
+    heads = stored(cores.select("node", "core").mapInArrow(_core_shingles(True), "id long, n int, items array<long>"), "core-heads")
+    first = heads.select(F.col("id").alias("node"), F.explode("items").alias("h"))
+    new = stored(_texts(cores, seeds), "near-seeds")
     taken: DataFrame | None = None
     while True:
-        known = stored(_elements(cores.join(new, "node", "left_semi")).select("h").distinct(), "shingles")
         taken = new if taken is None else taken.unionByName(new)
-        open_ = first.join(taken.withColumnRenamed("node", "id"), "id", "left_anti").select("id", F.explode("items").alias("h"))
-        hit = open_.join(_small(known), "h", "left_semi").select(F.col("id").alias("node")).distinct()
-        counted = _elements(cores.join(hit, "node", "left_semi")).join(_small(known.withColumn("in", F.lit(1))), "h", "left").groupBy("id", "n").agg(F.count("in").alias("common"))
-        new = stored(counted.where(F.col("common") * 1000 >= F.col("n") * SIMILARITY).select(F.col("id").alias("node")), "near-seeds")
-        forget(known)
+        known = stored(_elements(new).select("h").distinct(), "shingles")
+        among = _small(known.withColumn("in", F.lit(1)))
+        hit = stored(first.join(among, "h", "left_semi").select("node").distinct().join(taken, "node", "left_anti"), "hits")
+        texts = stored(_texts(cores, hit), "hit-cores")
+        counted = _elements(texts).join(among, "h", "left").groupBy("id", "n").agg(F.count("in").alias("common"))
+        close = counted.where(F.col("common") * 1000 >= F.col("n") * SIMILARITY).select(F.col("id").alias("node"))
+        new = stored(texts.join(close, "node", "left_semi"), "near-seeds")
+        for t in (known, hit, texts):
+            forget(t)
         if new.isEmpty():
-            forget(first)
+            forget(heads)
             return taken
 
 
+def _texts(cores: DataFrame, nodes: DataFrame) -> DataFrame:
+    return cores.join(_small(nodes), "node", "left_semi").groupBy("node").agg(F.min("core").alias("core"))
+
+
 def _elements(cores: DataFrame) -> DataFrame:
     return cores.select("node", "core").mapInArrow(_core_shingles(False), "id long, n int, items array<long>").select("id", "n", F.explode("items").alias("h"))
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -159,3 +160,32 @@ def test_repeated_bodies_without_any_message_list(spark):
     rows += [(20 + k, article, f"Warga {'pqrs'[k]} menyambut", "b.example", None) for k in range(4)]  # many names
     got = residue_records(spark.createDataFrame(rows, shape), title_cols=("content_title",), site_cols=("domain", "canonical_url"), messages=False)
     assert sorted(r["record_id"] for r in got.collect()) == [0, 1, 2, 3, 4]
+
+
+def test_long_chains_of_likeness_do_not_move_the_articles(spark):
+    """Every further link of a chain costs a look at the articles, but none of them is shuffled for it."""
+
+    def shuffled():
+        sc = spark.sparkContext._jsc.sc()
+        time.sleep(0.3)  # the figures are renewed with the next task after a tenth of a second
+        spark.range(1).count()
+        sc.listenerBus().waitUntilEmpty(30_000)
+        executors = sc.statusStore().executorList(False)
+        return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    lines = [" ".join(word() for _ in range(4)) for _ in range(36)]
+    # windows of 80 words; neighbours have a similarity of 0.81, the next but one 0.65
+    chain = [(k, "\n".join(lines[2 * k : 2 * k + 20] + ["${judul}"] * (k == 0))) for k in range(9)]
+    articles = [(100 + k, f"Warga {' '.join(word() for _ in range(45))}, kata mereka sejak Januari.") for k in range(3000)]
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")
+    try:
+        before = shuffled()
+        got = sorted(r["record_id"] for r in residue_records(records(spark, chain + articles)).collect())
+        moved = shuffled() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert got == list(range(9))
+    assert moved < sum(len(t) for _, t in articles) / 2
