@@ -121,6 +121,6 @@ def frame_lines(
     from .shared import stored
 
     pages = stored(scan_pages(df, id_col, text_col, title_cols, site_cols=site_cols), "pages")
-    bad = R.propagate(pages).distinct()
-    kept = pages.join(bad, "id", "left_anti")
+    bad = stored(R.propagate(pages).distinct(), "residue")
+    kept = pages.join(R._small(bad), "id", "left_anti")
     return kept.select(F.col("id").alias(id_col), F.explode("frame_lines").alias("line_no"))
